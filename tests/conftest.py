@@ -1,11 +1,12 @@
 import pytest
 
-from marginalia.session import local_session
+from marginalia.session import local_session, ship
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=4, shuffle_partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
