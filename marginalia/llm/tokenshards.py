@@ -46,6 +46,8 @@ BLOCK_BYTES = 1 << 16
 _WORD = "A-Za-z0-9À-ÖØ-öø-ɏ"
 _MARK = "!-&(-/:-@\\[-`{-~"
 _CHUNK = re.compile(rf"[ \t\n\r\x0b\x0c]*[{_WORD}]+|[ \t\n\r\x0b\x0c]*[{_MARK}]+|[ \t\n\r\x0b\x0c]+")
+#: A chunk that the splitting rule leaves in one piece, so that the model's merges alone decide.
+_SINGLE = re.compile(rf" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[{_MARK}]+)")
 _PLAIN = re.compile(rf"[ \t\n\r\x0b\x0c{_WORD}{_MARK}]*")
 
 
@@ -57,17 +59,27 @@ class ChunkEncoder:
     scripts, special tokens) is encoded whole. At most max_chunks chunks are remembered.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000, max_chunk_chars: int = 64) -> None:
+    def __init__(self, path: str, max_chunks: int = 1_000_000, max_chunk_chars: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
         self.max_chunks, self.max_chars = max_chunks, max_chunk_chars
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _chunk_ids(self, chunk: str) -> bytes:
+        if not _SINGLE.fullmatch(chunk):
+            return self._ids(chunk)
+        ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         """The ids of the whole text as little-endian uint32."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
@@ -78,11 +90,9 @@ class ChunkEncoder:
             return b"".join([known[c] for c in chunks])
         except KeyError:
             pass
-        new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > self.max_chunks:
+        if len(known) > self.max_chunks:
             known.clear()
-            new = list(set(chunks))
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        fresh = {c: self._chunk_ids(c) for c in set(chunks).difference(known)}
         known.update((c, x) for c, x in fresh.items() if len(c) <= self.max_chars)
         return b"".join([known[c] if c in known else fresh[c] for c in chunks])
 
