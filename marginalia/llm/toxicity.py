@@ -17,13 +17,12 @@ ignored. Labels with several rows for one document count as toxic if any says so
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,12 +146,16 @@ def aggregates(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(sizes)), np.log(top / (1 - top)) / 4, np.log1p(total), total / np.maximum(1, sizes)])
 
 
-def distinct_documents(docs: list[list[bytes]]) -> list[int]:
-    """Indexes of documents that share no two of four minimum 5-word hashes with an earlier one: copies teach nothing new."""
+def distinct_documents(docs: list[np.ndarray]) -> list[int]:
+    """Indexes of documents (word numbers) that share no two of four minimum 5-word hashes with an earlier one: copies teach nothing new."""
     seen, out = set(), []
-    for i, words in enumerate(docs):
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + 5])) for j in range(max(1, len(words) - 4))], np.uint64)
-        spread = [int((h * np.uint64(m)).min()) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    for i, ids in enumerate(docs):
+        width, wide = min(5, len(ids)), ids.astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(ids) - width + 1, np.uint64)
+        for j in range(width):
+            h = (h + wide[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+        spread = [int((h * np.uint64(m)).min(initial=0xFFFFFFFFFFFFFFFF)) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
         pairs = {(a, b, spread[a], spread[b]) for a in range(4) for b in range(a)}
         if not pairs & seen:
             out.append(i)
@@ -160,30 +163,53 @@ def distinct_documents(docs: list[list[bytes]]) -> list[int]:
     return out
 
 
-def train(raws: list[bytes], toxic: list[bool], prior: float, min_docs: int = 4, min_ratio: float = 6.0, steps: int = 40, l2: float = 1e-3) -> Field:
+def train(raws: Iterable[bytes], toxic: list[bool], prior: float, min_docs: int = 4, min_ratio: float = 6.0, steps: int = 40, l2: float = 1e-3) -> Field:
     """Fit the field and the document model; prior: the share of toxic documents where it is to be used."""
-    words = [tokens(r) for r in raws]
-    keep = [i for i in distinct_documents(words) if words[i]]
+    vocabulary: dict[bytes, int] = {}
+    words = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in tokens(r)), np.int32) for r in raws]
+    keep = [i for i in distinct_documents(words) if len(words[i])]
     words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
     n_toxic, n_clean = sum(toxic), len(toxic) - sum(toxic)
     if not n_toxic or not n_clean:
         return Field()
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-    parts = [features(w) for w in vocabulary]
-    found = {True: Counter(), False: Counter()}
-    for ws, t in zip(words, toxic):
-        found[t].update({f for w in set(ws) for f in parts[vocabulary[w]]})
-    marks = {f for f, k in found[True].items() if k >= min_docs and (k / n_toxic) >= min_ratio * (found[False][f] + 0.5) / n_clean}
-    # the model's features: the marks, and longer ones that begin like a mark, which tell clean words from toxic ones
-    heads = {head(f.rstrip(b"*")) for f in marks}
-    names = sorted(marks | {f for w, fs in zip(vocabulary, parts) if head(w) in heads for f in fs if found[False][f] and found[True][f]})
-    column = {f: i for i, f in enumerate(names)}
-    per_word = [[column[f] for f in fs if f in column] for fs in parts]
-    rows = np.repeat(np.arange(len(per_word)), [len(x) for x in per_word])
-    cols = np.array([c for x in per_word for c in x], np.int64)
-    marked = np.array([any(f in marks for f in fs) for fs in parts])
-    ids = np.array([vocabulary[w] for ws in words for w in ws])
-    sizes = np.array([len(w) for w in words])
+    # features that any toxic document has, numbered; (rows, cols): word by feature
+    in_toxic = np.zeros(len(vocabulary), bool)
+    for ids, t in zip(words, toxic):
+        if t:
+            in_toxic[ids] = True
+    number: dict[bytes, int] = {}
+    heads_of, rows, cols = [], array("i"), array("i")
+    for word, bad in zip(vocabulary, in_toxic):
+        if bad:
+            for f in features(word):
+                number.setdefault(f, len(number))
+    for w, word in enumerate(vocabulary):
+        heads_of.append(head(word))
+        for f in features(word):
+            if f in number:
+                rows.append(w)
+                cols.append(number[f])
+    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+    first = np.searchsorted(rows, np.arange(len(vocabulary) + 1))
+    found = np.zeros((2, len(number)))
+    for ids, t in zip(words, toxic):
+        own = np.unique(ids)
+        found[int(t), np.unique(np.concatenate([cols[first[w] : first[w + 1]] for w in own]))] += 1
+    marks = (found[1] >= min_docs) & (found[1] / n_toxic >= min_ratio * (found[0] + 0.5) / n_clean)
+    # the model's features: the marks, and those of words that begin like a mark, which tell clean words from toxic ones
+    names = list(number)
+    heads = {head(names[f].rstrip(b"*")) for f in np.flatnonzero(marks)}
+    like = np.array([h in heads for h in heads_of])
+    used = marks.copy()
+    used[cols[like[rows]]] = True
+    used &= marks | ((found[0] > 0) & (found[1] > 0))
+    marked = np.bincount(rows, marks[cols], len(vocabulary)) > 0
+    names = [f for f, u in zip(names, used) if u]
+    place = np.cumsum(used) - 1
+    rows, cols = rows[used[cols]], place[cols[used[cols]]]
+    n_words = len(vocabulary)
+    del vocabulary, number, heads_of
+    ids, sizes = np.concatenate(words), np.array([len(w) for w in words])
     starts = np.cumsum(sizes) - sizes
     y = (marked[ids] & np.repeat(np.array(toxic), sizes)).astype(np.float64)
     inner = np.ones(len(ids), bool)
@@ -191,14 +217,14 @@ def train(raws: list[bytes], toxic: list[bool], prior: float, min_docs: int = 4,
     at = np.flatnonzero(inner)
     seen_move = np.array([[((1 - y[at - 1]) * (1 - y[at])).sum(), ((1 - y[at - 1]) * y[at]).sum()], [(y[at - 1] * (1 - y[at])).sum(), (y[at - 1] * y[at]).sum()]])
     seen_start = np.array([(1 - y[starts]).sum(), y[starts].sum()])
-    seen_word = np.bincount(ids, y, len(per_word))
+    seen_word = np.bincount(ids, y, n_words)
     model = Field()
     w, bias = np.zeros(len(names)), 0.0
     slots = [np.zeros_like(x) for x in (w, np.zeros(1), model.move, model.start)]
     speed = [np.zeros_like(x) for x in slots]
     scale = 1.0 / max(1.0, y.sum())
     for step in range(1, steps + 1):
-        by_word = bias + np.bincount(rows, w[cols], len(per_word))
+        by_word = bias + np.bincount(rows, w[cols], n_words)
         scores = by_word[ids]
         p, ahead, behind = model.marginals(scores, starts)
         b0, b1, a1 = 1 - behind[at], behind[at], ahead[at - 1]
@@ -206,7 +232,7 @@ def train(raws: list[bytes], toxic: list[bool], prior: float, min_docs: int = 4,
         joint = [(1 - a1) * m[0, 0] * b0, (1 - a1) * m[0, 1] * b1, a1 * m[1, 0] * b0, a1 * m[1, 1] * b1]
         total = sum(joint)
         hoped_move = np.array([(j / total).sum() for j in joint]).reshape(2, 2)
-        gap = seen_word - np.bincount(ids, p, len(per_word))
+        gap = seen_word - np.bincount(ids, p, n_words)
         slope = [np.bincount(cols, gap[rows], len(names)) * scale - l2 * w, np.array([gap.sum() * scale - l2 * bias]), (seen_move - hoped_move) * scale - l2 * model.move, (seen_start - np.array([(1 - p[starts]).sum(), p[starts].sum()])) * scale - l2 * model.start]
         change = []
         for i, g in enumerate(slope):  # Adam
@@ -216,7 +242,7 @@ def train(raws: list[bytes], toxic: list[bool], prior: float, min_docs: int = 4,
         w, bias = w + change[0], bias + change[1][0]
         model.move, model.start = model.move + change[2], model.start + change[3]
     model = Field({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-6}, model.move, model.start, float(bias))
-    p = model.marginals((bias + np.bincount(rows, w[cols], len(per_word)))[ids], starts)[0]
+    p = model.marginals((bias + np.bincount(rows, w[cols], n_words))[ids], starts)[0]
     x, t = aggregates(p, sizes), np.array(toxic, np.float64)
     importance = np.where(t > 0, prior / n_toxic, (1 - prior) / n_clean) * len(t)
     beta = np.zeros(x.shape[1])
@@ -229,7 +255,7 @@ def train(raws: list[bytes], toxic: list[bool], prior: float, min_docs: int = 4,
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000, seed: int = 5) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000, seed: int = 5) -> Field:
     """Train on about max_toxic and max_clean labelled documents, drawn by hash, whose crc32(doc_id) mod 5 is not 0."""
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic"))
     known = known.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0)
@@ -239,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: in
     rate = F.when(F.col("_toxic") == 1, min(1.0, max_toxic / sizes[1])).otherwise(min(1.0, max_clean / sizes[0]))
     drawn = known.filter(unit_hash("_id", seed=seed) < rate)
     rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(texts(rows.column("text").combine_chunks()), [x == 1 for x in rows.column("_toxic").to_pylist()], sizes[1] / (sizes[0] + sizes[1]))
+    return train(texts(pa.concat_arrays(rows.column("text").chunks) if rows.num_rows else pa.array([], pa.string())), [x == 1 for x in rows.column("_toxic").to_pylist()], sizes[1] / (sizes[0] + sizes[1]))
 
 
 def score(docs: DataFrame, model: Field) -> DataFrame:
