@@ -2,13 +2,302 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from marginalia.functions import text as T
+from marginalia.functions import urls as U
+from marginalia.operators import search as S
+from marginalia.operators import temporal as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+NEEDLE, ALL, ANY = "Keit", ["the", "erth", "of"], ["stupid", "gemäß", "réeux"]
+PAGE, EACH, TOTAL = 1000, 1500, 20_000
+DAY = 86_400.0
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _fold(x: str) -> str:
+    """Case folding in the oracle's SQL, right for the letters of these tables."""
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+# rows of lines as str.splitlines() gives them; these tables hold no other line ends
+_LINES = """l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l1 AS (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[1:-2] ELSE ls END AS ls FROM l0),
+l AS (SELECT doc_id, unnest(ls) AS value, unnest(range(1, len(ls) + 1))::INTEGER AS line FROM l1)"""
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.line_rows(read(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a scale folder that mention a word, best first."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").limit(10).select(F.col("doc_id"))
+    """Documents of a scale folder that hold any of some words, best first."""
+    return doc_files_ranked_topk(spark, sf_dir)
+
+
+@query(f"""WITH {_LINES},
+h AS (SELECT doc_id, line, value, instr({_fold('value')}, 'keit') AS place FROM l WHERE contains({_fold('value')}, 'keit')),
+c AS (SELECT *, CASE WHEN length({_fold('value')}) = length(value) THEN place ELSE list_min(list_filter(range(1, length(value) + 1), lambda i: length({_fold('left(value, i)')}) >= place)) END AS col FROM h),
+s AS (SELECT *, greatest(0, col - 61) AS text_start FROM c)
+SELECT doc_id, line, col::INTEGER AS "column", text_start::INTEGER AS text_start, substr(value, text_start + 1, 200) AS text,
+  (text_start + length(substr(value, text_start + 1, 200)))::INTEGER AS text_end,
+  text_start > 0 OR text_start + length(substr(value, text_start + 1, 200)) < length(value) AS text_truncated FROM s""")
+def doc_literal_lines(spark, sf_dir):
+    return S.literal_lines(_doc_lines(spark, sf_dir), NEEDLE)
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line, value FROM l WHERE contains({_fold('value')}, 'the') AND contains({_fold('value')}, 'erth') AND contains({_fold('value')}, 'of')")
+def doc_all_terms_same_line(spark, sf_dir):
+    return S.term_lines(_doc_lines(spark, sf_dir), ALL, "all").drop("terms")
+
+
+_ANY = ", ".join(f"'{t.casefold()}'" for t in ANY)
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line, array_to_string(list_filter([{_ANY}], lambda t: contains({_fold('value')}, t)), ',') AS terms FROM l WHERE len(list_filter([{_ANY}], lambda t: contains({_fold('value')}, t))) > 0")
+def doc_any_terms_same_line(spark, sf_dir):
+    return S.term_lines(_doc_lines(spark, sf_dir), ANY, "any").select("doc_id", "line", F.array_join("terms", ",").alias("terms"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: first line as title, language as the only tag, source and number as file name."""
+    docs = read(spark, sf_dir, "documents")
+    return S.fields(docs, "doc_id", F.substring_index("text", "\n", 1), F.array("lang"), F.concat_ws("-", "source", "doc_id"), F.col("text"))
+
+
+_FIELDS = f"""{_LINES},
+v AS (SELECT doc_id, 4 AS tier, NULL AS line, string_split(text, chr(10))[1] AS value FROM documents UNION ALL SELECT doc_id, 3, NULL, lang FROM documents
+  UNION ALL SELECT doc_id, 2, NULL, source || '-' || doc_id FROM documents UNION ALL SELECT doc_id, 1, line, value FROM l)"""
+
+
+def _ranked(terms: list[str], mode: str, k: int | None) -> str:
+    listed = ", ".join(f"('{t.casefold()}')" for t in terms)
+    how, having = ("min", f"WHERE n_terms = {len(terms)}") if mode == "all" else ("max", "")
+    return f"""WITH {_FIELDS}, t(term) AS (VALUES {listed}),
+h AS (SELECT doc_id, tier, line, term FROM v JOIN t ON contains({_fold('value')}, term)),
+b AS (SELECT doc_id, term, max(tier) AS tier FROM h GROUP BY ALL),
+r AS (SELECT doc_id, count(*) AS n_terms, {how}(tier)::INTEGER AS priority FROM b GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT line) AS matched_lines, min(line) AS first_line FROM h GROUP BY doc_id)
+SELECT doc_id, n_terms, priority, matched_lines, first_line FROM r JOIN s USING (doc_id) {having} {f'ORDER BY priority DESC, doc_id LIMIT {k}' if k else ''}"""
+
+
+@query(_ranked(ALL, "all", None))
+def doc_all_terms_file(spark, sf_dir):
+    return S.ranked_files(_files(spark, sf_dir), "doc_id", ALL, "all", None)
+
+
+@query(_ranked(["src1", "erth", "stupid"], "any", 20))
+def doc_files_ranked_topk(spark, sf_dir):
+    return S.ranked_files(_files(spark, sf_dir), "doc_id", ["src1", "erth", "stupid"], "any", 20)
+
+
+@query(f"""SELECT doc_id, n::INTEGER AS page, substr(text, (n * {PAGE} + 1)::BIGINT, {PAGE}) AS body, length(text)::INTEGER AS total_chars, (n * {PAGE})::INTEGER AS start_index,
+  least(length(text), (n + 1) * {PAGE})::INTEGER AS end_index, CASE WHEN (n + 1) * {PAGE} < length(text) THEN (n + 1) * {PAGE} END::INTEGER AS next_index
+FROM (SELECT *, unnest(range(0, greatest(1, (length(text) + {PAGE - 1}) // {PAGE}))) AS n FROM documents)""")
+def doc_page_slices(spark, sf_dir):
+    pages = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / PAGE).cast("int")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(pages).alias("page"))
+    return rows.withColumn("x", T.page_slice(F.col("text"), F.col("page") * PAGE, PAGE)).select("doc_id", "page", "x.body", "x.total_chars", "x.start_index", "x.end_index", "x.next_index")
+
+
+@query("SELECT doc_id, sha256(text) AS content_id, sha256('markdown' || chr(0) || text) AS markdown_id, substr(sha256(text), 1, 1) = '0' AS matches FROM documents")
+def doc_version_id(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", T.version_id(F.col("text")).alias("content_id"), T.version_id(F.col("text"), markdown=True).alias("markdown_id"))
+    return rows.withColumn("matches", F.startswith("content_id", F.lit("0")))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(trim(text, ' ' || chr(10) || chr(9))) < 200 THEN 'short_content' END, CASE WHEN contains(text, chr(65533)) THEN 'replacement_characters' END,
+  CASE WHEN trim(string_split(text, chr(10))[1]) = '' THEN 'missing_title' END], lambda w: w IS NOT NULL), ',') AS warnings FROM documents""")
+def doc_content_warnings(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.warnings_of(F.col("text"), F.substring_index("text", "\n", 1)), ",").alias("warnings"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, source, length(text)::BIGINT AS n, least(length(text), {EACH})::BIGINT AS cap FROM documents)
+SELECT doc_id, source, n, greatest(0, least(cap, {TOTAL} - coalesce(sum(cap) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS allowed FROM c""")
+def doc_char_budget(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    return S.char_budget(rows, "n", "doc_id", "source", EACH, TOTAL).withColumn("allowed", F.col("allowed").cast("bigint"))
+
+
+_HOST = r"regexp_replace(nullif(lower(regexp_extract(url, '^(?i:https?)://([A-Za-z0-9.-]+)(?::[0-9]{1,5})?(?:[/?#]|$)', 1)), ''), '\.$', '')"
+_KEY = r"""CASE WHEN regexp_extract(u, '^[a-z]+://[^/?]*(.*)$', 1) = '' THEN u || '/' WHEN regexp_matches(u, '^[a-z]+://[^/?]*\?') THEN regexp_replace(u, '\?', '/?') ELSE u END"""
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def page_host(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.host_of(F.col("url")).alias("host"))
+
+
+@query(f"SELECT page_id, {_KEY} AS canonical_url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)")
+def page_canonical_key(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.identity_udf("url")["canonical_url"].alias("canonical_url"))
+
+
+@query(f"SELECT page_id, host FROM (SELECT page_id, {_HOST} AS host FROM pages) WHERE (host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org' OR host LIKE '%.example.org') AND NOT (host = 'm.example.com' OR host LIKE 'm.%')")
+def page_domain_include_exclude(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", U.host_of(F.col("url")).alias("host"))
+    return rows.filter(U.in_domains(F.col("host"), ["example.com", "example.org"]) & ~U.in_domains(F.col("host"), ["m.example.com"]) & ~F.startswith("host", F.lit("m.")))
+
+
+@query(f"SELECT host, count(*) AS pages, count(DISTINCT regexp_replace(url, '#.*$', '')) AS urls FROM (SELECT url, {_HOST} AS host FROM pages) GROUP BY host")
+def page_domain_counts(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select(U.host_of(F.col("url")).alias("host"), U.canonical_ascii(F.col("url")).alias("canonical"))
+    return rows.groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("canonical").alias("urls"))
+
+
+@query(r"""SELECT page_id, title, CASE WHEN trim(title) = '' THEN 'missing_title' ELSE '' END AS warnings FROM (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS title FROM pages)""")
+def page_title_warnings(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title", 1).alias("title"))
+    return rows.withColumn("warnings", F.when(F.trim("title") == "", F.lit("missing_title")).otherwise(F.lit("")))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ranked lists of three engines; the same URL path may come from several."""
+    rows = read(spark, sf_dir, "pages").withColumn("host", U.host_of(F.col("url"))).withColumn("group", (F.col("page_id") % 3).cast("int"))
+    rows = rows.withColumn("canonical", F.concat(F.lit("https://"), "host", F.lit("/"))).withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("page_id")))
+    return rows.select("page_id", "group", "rank", "url", F.concat(F.lit("t"), "page_id").alias("title"), F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("s"), "page_id")).alias("snippet"), "canonical", "host")
+
+
+_CANDIDATES = f"""c0 AS (SELECT page_id, url, {_HOST} AS host, (page_id % 3)::INTEGER AS grp FROM pages),
+c AS (SELECT *, 't' || page_id AS title, CASE WHEN page_id % 4 > 0 THEN 's' || page_id END AS snippet, 'https://' || host || '/' AS canonical, (row_number() OVER (PARTITION BY grp ORDER BY page_id))::INTEGER AS rank FROM c0)"""
+
+
+@query(f"""WITH {_CANDIDATES}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rank) AS pos FROM c WHERE NOT host LIKE 'm.%'),
+m AS (SELECT canonical, min(pos * 10 + grp) AS first, arg_min(url, pos * 10 + grp) AS url, arg_min(title, pos * 10 + grp) AS title, arg_min(snippet, pos * 10 + grp) FILTER (snippet IS NOT NULL) AS snippet,
+  string_agg(grp || ':' || rank, ',' ORDER BY pos, grp) AS provenance FROM k GROUP BY canonical)
+SELECT canonical, url, title, snippet, provenance FROM m ORDER BY first LIMIT 30""")
+def page_merge_interleave(spark, sf_dir):
+    merged = S.interleave(_candidates(spark, sf_dir), ~F.startswith("host", F.lit("m.")), 30)
+    shown = F.array_join(F.transform("provenance", lambda p: F.concat_ws(":", p["group"], p["rank"])), ",")
+    return merged.select("canonical", "url", "title", "snippet", shown.alias("provenance"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT canonical, page_id, grp AS query_ord, rank FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY grp, rank) = 1")
+def page_first_seen_multi_query(spark, sf_dir):
+    return S.first_seen(_candidates(spark, sf_dir), "canonical", "group", "rank").select("canonical", "page_id", F.col("group").alias("query_ord"), "rank")
+
+
+@query(f"WITH {_CANDIDATES} SELECT canonical, string_agg(DISTINCT grp::VARCHAR, ',' ORDER BY grp::VARCHAR) AS queries, count(*) AS hits FROM c GROUP BY canonical")
+def page_query_membership(spark, sf_dir):
+    return _candidates(spark, sf_dir).groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_set(F.col("group").cast("string"))), ",").alias("queries"), F.count("*").alias("hits"))
+
+
+@query(f"""WITH {_CANDIDATES}, k AS (SELECT grp, count(*) FILTER (host LIKE '%.example.org') AS accepted, count(*) FILTER (NOT host LIKE '%.example.org') AS filtered FROM c GROUP BY grp),
+f AS (SELECT min(grp) AS engine FROM k WHERE accepted > 0)
+SELECT grp AS engine, accepted, filtered, CASE WHEN accepted > 0 THEN 'results' WHEN filtered > 0 THEN 'filtered_empty' ELSE 'no_results' END AS status FROM k, f WHERE grp <= f.engine""")
+def search_fallback_attempts(spark, sf_dir):
+    kept = F.endswith("host", F.lit(".example.org"))
+    each = _candidates(spark, sf_dir).groupBy(F.col("group").alias("engine")).agg(F.count_if(kept).alias("accepted"), F.count_if(~kept).alias("filtered"))
+    first = F.min(F.when(F.col("accepted") > 0, F.col("engine"))).over(Window.partitionBy())  # a row an engine
+    status = F.when(F.col("accepted") > 0, F.lit("results")).when(F.col("filtered") > 0, F.lit("filtered_empty")).otherwise(F.lit("no_results"))
+    return each.withColumn("f", first).filter(F.col("engine") <= F.col("f")).select("engine", "accepted", "filtered", status.alias("status"))
+
+
+@query("""WITH q AS (SELECT item_id, item_id % 2 AS strategy, string_split(text, ' ')[1:3] AS w FROM benchmark),
+h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank, d.text, q.w FROM q JOIN documents d ON contains(d.text, array_to_string(q.w, ' '))),
+r AS (SELECT q.item_id, strategy, min(rank) FILTER (quality = 1) AS rank FROM q LEFT JOIN (SELECT h.*, quality FROM h LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)) x ON q.item_id = x.item_id GROUP BY ALL)
+SELECT strategy, count(*) AS runs, count(rank) AS found, round_even(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr FROM r GROUP BY strategy""")
+def eval_mrr_summary(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 2).alias("strategy"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("needle"))
+    # the evaluation set is what a person wrote: its size does not follow the corpus, and Spark checks it before a broadcast
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    hits = docs.join(items, F.contains("text", F.col("needle"))).select("item_id", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
+    ranks = hits.join(good, "doc_id").filter("quality = 1").groupBy("item_id").agg(F.min("rank").alias("rank"))
+    return S.mean_reciprocal_rank(items.join(ranks, "item_id", "left"), ["strategy"])
+
+
+@query("SELECT lang, quality, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def label_join(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n")).join(read(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("lang", "quality").agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("chars"), F.sum("toxic").cast("bigint").alias("toxic"))
+
+
+@query(f"SELECT conv_id, count(*) AS matched_turns, min(turn) AS first_turn FROM conversations WHERE contains({_fold('text')}, 'the') GROUP BY conv_id")
+def conv_turn_search(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").filter(F.contains(T.fold("text"), F.lit("the")))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("matched_turns"), F.min("turn").alias("first_turn"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[一-鿿]') AS chinese, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS route FROM documents")
+def chinese_router(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.has_cjk(F.col("text")).alias("chinese"), F.when(T.has_cjk(F.col("text")), F.lit("zh")).otherwise(F.lit("en")).alias("route"))
+
+
+@query(f"SELECT lang, count(*) AS files, count(*) FILTER (lower(source) IN ('src1', 'src2')) AS kept, count(*) FILTER (length(text) > 5000) AS oversize FROM documents GROUP BY lang")
+def doc_metadata_filter(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").withColumn("keep", T.fold("source").isin("src1", "src2"))
+    return rows.groupBy("lang").agg(F.count("*").alias("files"), F.count_if("keep").alias("kept"), F.count_if(F.length("text") > 5000).alias("oversize"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with t, seconds since the epoch."""
+    return read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+
+
+_T = "epoch_us(ts) / 1e6::DOUBLE"
+
+
+@query(f"""SELECT event_id, event_type, round(max(t - n * 600.0::DOUBLE) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + n * 600.0::DOUBLE - t, 3) AS wait
+FROM (SELECT *, {_T} AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)""")
+def event_pacing(spark, sf_dir):
+    rows = R.pacing(_events(spark, sf_dir), "event_type", "t", "event_id", 600.0)
+    return rows.select("event_id", "event_type", F.round(F.col("start") - F.col("t"), 3).alias("wait"))
+
+
+def _anchored_sql(outer: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id, {_T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT user_id, n, t AS anchor, false AS hit FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN e.t >= r.anchor + {DAY} THEN e.t ELSE r.anchor END, e.t < r.anchor + {DAY} FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+{outer}"""
+
+
+@query(_anchored_sql("SELECT user_id, count(*) FILTER (NOT hit) AS flights, count(*) FILTER (hit) AS followers FROM r GROUP BY user_id"))
+def event_single_flight(spark, sf_dir):
+    rows = R.anchored(_events(spark, sf_dir), "user_id", "t", DAY)
+    return rows.groupBy("user_id").agg(F.count_if(~F.col("hit")).alias("flights"), F.count_if("hit").alias("followers"))
+
+
+@query(_anchored_sql("SELECT hit, count(*) AS reads FROM r GROUP BY hit"))
+def event_cache_ttl(spark, sf_dir):
+    return R.anchored(_events(spark, sf_dir), "user_id", "t", DAY).groupBy("hit").agg(F.count("*").alias("reads"))
+
+
+@query("SELECT event_id, user_id, pow(2.0::DOUBLE, least(10, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) - 1) AS delay FROM events WHERE event_type = 'error'")
+def event_retry_backoff(spark, sf_dir):
+    rows = _events(spark, sf_dir).filter("event_type = 'error'").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.select("event_id", "user_id", R.backoff(F.least(F.lit(10), F.col("n"))).alias("delay"))
+
+
+@query(f"""SELECT event_id, round(greatest(0, coalesce(max(t + abs(coalesce(value, 0)) * 60) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - t, 0)), 3) AS wait
+FROM (SELECT *, {_T} AS t FROM events)""")
+def event_cooldown(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("delay", F.abs(F.coalesce("value", F.lit(0.0))) * 60)
+    return R.cooldown(rows, "user_id", "t", "event_id", "delay").select("event_id", F.round("wait", 3).alias("wait"))
+
+
+@query(f"""SELECT state, count(*) AS n FROM (SELECT CASE WHEN t + abs(value) <= m THEN 'completed' WHEN t < m THEN 'timed_out' ELSE 'not_started' END AS state
+FROM (SELECT *, {_T} AS t, 1704067200.0::DOUBLE + 864000 AS m FROM events)) GROUP BY state""")
+def event_deadline(spark, sf_dir):
+    state = R.deadline_state(F.col("t"), F.col("t") + F.abs("value"), F.lit(1704067200.0 + 864000))
+    return _events(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
