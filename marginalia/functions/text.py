@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: Line ends of str.splitlines().
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -16,7 +17,7 @@ WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\
 WINDOW, LEAD, LONG_NEEDLE = 200, 60, 140
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding, str.casefold(); Spark's lower() and its collations differ from it. Fold into a column once
     and match on that with built-in functions."""
@@ -33,13 +34,15 @@ def words(query: str) -> list[str]:
     """Distinct terms of a query by folded form, first spelling kept; at most 16 terms and 4096 characters."""
     if len(query) > 4096:
         raise ValueError("query is longer than 4096 characters")
-    terms = list({t.casefold(): t for t in reversed(query.split())}.items())[::-1]
-    if not terms or len(terms) > 16:
+    terms: dict[str, str] = {}
+    for t in query.split():
+        terms.setdefault(t.casefold(), t)
+    if not 0 < len(terms) <= 16:
         raise ValueError("a query needs 1 to 16 distinct terms")
-    return [t for _, t in terms]
+    return list(terms.values())
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def column_of(line: pd.Series, place: pd.Series) -> pd.Series:
     """1-based character of line that holds the place-th character of its folded form."""
 
