@@ -263,8 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
     if len(sizes) < 2:
         return Field()
     rate = F.when(F.col("_toxic") == 1, min(1.0, max_toxic / sizes[1])).otherwise(min(1.0, max_clean / sizes[0]))
-    drawn = known.filter(unit_hash("_id", seed=seed) < rate)
-    rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    drawn = known.filter(unit_hash("_id", seed=seed) < rate).select("_id", "_toxic")  # max_toxic + max_clean ids expected: broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(texts(pa.concat_arrays(rows.column("text").chunks) if rows.num_rows else pa.array([], pa.string())), [x == 1 for x in rows.column("_toxic").to_pylist()], sizes[1] / (sizes[0] + sizes[1]))
 
 
