@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import urls as U
+from marginalia.functions.article import extract_udf
+from marginalia.functions.encoding import decode_udf
 from marginalia.operators import search as S
 from marginalia.operators import temporal as R
+from marginalia.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -301,3 +304,33 @@ FROM (SELECT *, {_T} AS t, 1704067200.0::DOUBLE + 864000 AS m FROM events)) GROU
 def event_deadline(spark, sf_dir):
     state = R.deadline_state(F.col("t"), F.col("t") + F.abs("value"), F.lit(1704067200.0 + 864000))
     return _events(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").withColumn("a", extract_udf("html", "url"))
+
+
+@query()
+def page_extract_text(spark, sf_dir):
+    return _articles(spark, sf_dir).select("page_id", "a.title", "a.text", "a.markdown", "a.code_blocks", "a.tables", T.version_id(F.col("a.text")).alias("content_id"), F.array_join(T.warnings_of(F.col("a.text"), F.col("a.title")), ",").alias("warnings"))
+
+
+@query()
+def page_references(spark, sf_dir):
+    rows = _articles(spark, sf_dir).select("page_id", F.posexplode("a.references").alias("place", "r"))
+    return rows.select("page_id", "place", "r.text", "r.url")
+
+
+@query("SELECT page_id, length(html)::INTEGER AS n_chars, CASE WHEN regexp_matches(lower(left(html, 1000)), '<meta[^>]*charset') THEN 'meta' ELSE 'default' END AS declared, false AS had_errors FROM pages")
+def page_decode(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").withColumn("d", decode_udf(F.encode("html", "UTF-8"), F.lit("")))
+    return rows.select("page_id", F.length("d.text").alias("n_chars"), F.col("d.source").alias("declared"), "d.had_errors")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 86400000000 THEN 0 ELSE 1 END AS fresh FROM e),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS n FROM b)
+SELECT user_id, min(us)::BIGINT AS start_us, (max(us) + 86400000000)::BIGINT AS end_us, count(*) AS events FROM g GROUP BY user_id, n""")
+def event_session_stream(spark, sf_dir):
+    rows = E.settle(E.sessions(E.read_events(spark, sf_dir), "user_id", "1 day", "1 hour"))
+    return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")

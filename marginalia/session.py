@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 _shipped: set[str] = set()
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder spark.checkpoint.dir; in a folder of our own only where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="marginalia-"))
+    return f"{(shared or _own[0]).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
