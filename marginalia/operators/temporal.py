@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +56,45 @@ def deadline_state(started: Column, finished: Column, deadline: Column) -> Colum
 
 def retryable(status: Column) -> Column:
     return status.isin(429, 502, 503, 504)
+
+
+def lru_replay(log: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
+    """log (t, ord, key, size) to t, ord, key, hit, evicted (keys dropped by this read) of a cache that loads what it lacks.
+
+    Least recently read entries go until both limits hold; an entry larger than max_bytes is never stored; a limit of 0
+    stores nothing. One cache is one ordered history, so the whole log is one group: meant for the log of one process, whose
+    state (at most max_entries) is small, not for a log of a cluster.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: dict[object, int] = {}  # oldest read first
+        total, hits, gone = 0, [], []
+        for key, size in zip(rows["key"], rows["size"]):
+            hits.append(key in kept)
+            out = []
+            if hits[-1]:
+                kept[key] = kept.pop(key)
+            elif max_entries > 0 and size <= max_bytes:
+                kept[key], total = size, total + size
+                while len(kept) > max_entries or total > max_bytes:
+                    old = next(iter(kept))
+                    total -= kept.pop(old)
+                    out.append(str(old))
+            gone.append(out)
+        return rows.assign(hit=hits, evicted=gone)[["t", "ord", "key", "hit", "evicted"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
+    rows = log.select("t", "ord", "key", "size")
+    sorted_run = lambda rows: run(rows.sort_values(["t", "ord"], kind="stable"))
+    return rows.groupBy().applyInPandas(sorted_run, f"t {kinds['t']}, ord {kinds['ord']}, key {kinds['key']}, hit boolean, evicted array<string>")
+
+
+def redirect_ends(starts: DataFrame, hops: DataFrame, limit: int = 5) -> DataFrame:
+    """starts (url) with final_url, n_hops and state: done, or too_many_redirects beyond limit; hops (url, status, target)."""
+    moved = hops.filter(F.col("status").isin(301, 302, 303, 307, 308) & F.col("target").isNotNull())
+    moved = moved.groupBy(F.col("url").alias("_from")).agg(F.min("target").alias("_to"))
+    rows = starts.withColumn("final_url", F.col("url")).withColumn("n_hops", F.lit(0))
+    for _ in range(limit + 1):
+        on = rows.join(moved, F.col("final_url") == F.col("_from"), "left")
+        rows = on.withColumn("n_hops", F.col("n_hops") + F.col("_to").isNotNull().cast("int")).withColumn("final_url", F.coalesce("_to", "final_url")).drop("_from", "_to")
+    return rows.withColumn("state", F.when(F.col("n_hops") > limit, F.lit("too_many_redirects")).otherwise(F.lit("done")))

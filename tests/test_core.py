@@ -49,6 +49,19 @@ def test_budget_and_pacing(spark):
     assert [r["hit"] for r in R.anchored(times, "k", "t", 10.0).orderBy("t").collect()] == [False, True, True, False, False]
 
 
+def test_lru_and_redirects(spark):
+    reads = [("a", 4), ("b", 4), ("a", 4), ("c", 4), ("b", 4), ("d", 99), ("c", 4)]
+    log = spark.createDataFrame([(float(i), i, k, n) for i, (k, n) in enumerate(reads)], "t double, ord int, key string, size long")
+    got = R.lru_replay(log, 2, 10).orderBy("t").collect()
+    assert [r["hit"] for r in got] == [False, False, True, False, False, False, True]
+    assert [r["evicted"] for r in got] == [[], [], [], ["b"], ["a"], [], []]
+    assert not any(r["hit"] for r in R.lru_replay(log, 0, 10).collect())
+    hops = spark.createDataFrame([(f"u{i}", 302, f"u{i + 1}") for i in range(9)] + [("x", 200, "y"), ("l", 301, "l")], "url string, status int, target string")
+    ends = R.redirect_ends(spark.createDataFrame([("u4",), ("u3",), ("x",), ("l",)], "url string"), hops).collect()
+    assert {r["url"]: (r["final_url"], r["state"]) for r in ends if r["url"] not in "u3l"} == {"u4": ("u9", "done"), "x": ("x", "done")}
+    assert {r["url"] for r in ends if r["state"] != "done"} == {"u3", "l"}
+
+
 def test_page_slice(spark):
     page = spark.createDataFrame([("a😀bcd",)], "t string").select(T.page_slice(F.col("t"), 1, 3).alias("p")).first()["p"]
     assert (page["body"], page["total_chars"], page["start_index"], page["end_index"], page["next_index"]) == ("😀bc", 5, 1, 4, 4)
