@@ -127,6 +127,8 @@ def test_notes(spark, tmp_path):
     assert [(h["relpath"].split("/")[-1][:7], h["line"], h["column"]) for h in got["matches"]] == [(".hidden", 1, 1), ("2024-01", 8, 6)]
     assert not got["complete"] and got["stats"] == {"entries": 10, "files_read": 5, "files_searched": 3, "filtered_files": 0}
     assert got["skipped"] == {"excluded_dirs": 1, "extensions": 1, "links": 1, "special_files": 0, "oversized": 1, "binary": 1, "encoding": 1, "io_errors": 0, "metadata": 0}
+    shown = Q.search_local(spark, "strasse", str(tmp_path), max_file_bytes=1000).render()
+    assert "**.hidden.txt**\n  L1: STRASSE" in shown and "incomplete" in shown and '"oversized": 1' in shown
     files = Q.search_local(spark, "line T", str(tmp_path), collection="MY COLL", tags="red", source_domain="x.org", result_mode="files", query_mode="all").payload()
     assert [h["relpath"] for h in files["matches"]] == [path.removeprefix(f"{tmp_path}/")] and files["stats"]["filtered_files"] == 3
     assert len(Q.search_local(spark, "", str(tmp_path), collection="my coll").payload()["matches"]) == 2
