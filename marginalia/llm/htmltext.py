@@ -1,7 +1,8 @@
 """HTML extraction by layout-aware rendering.
 
 A tokenizer feeds a tree builder with implied end tags (p, li, dt, dd, options, table parts) and implied table parts;
-visibility rules drop what a browser would not paint (script, style, template, hidden, display:none, closed widgets); the
+visibility rules drop what a browser would not paint (script, style, template, hidden, display:none, closed widgets;
+of a drop-down list all but the shown option; descriptions and definitions in svg and math); the
 renderer emits all other text: blank lines between paragraphs and headings, list markers with nested indentation,
 preformatted text as it stands, and tables as aligned cells.
 
@@ -25,13 +26,17 @@ _TAG = re.compile(r"""<(?:!--(?P<comment>.*?(?:--!?>|\Z))|(?P<bogus>[!?][^>]*(?:
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNEVEN = re.compile(r"[\t\n\r\f]|  |^ | $")
-_BARE = re.compile("hidden|open", re.I)
+_BARE = re.compile("hidden|open|selected|multiple|disabled", re.I)
 _NONE: dict[str, str] = {}
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template noscript iframe object noembed noframes svg math canvas audio video datalist select title textarea".split())
+UNSEEN = set("head script style template noscript iframe object noembed noframes canvas audio video datalist title".split())
+#: Not painted inside svg and math.
+FOREIGN_UNSEEN = set("desc defs symbol metadata clippath mask marker pattern annotation annotation-xml mphantom".split())
+#: Labels and formula tokens that stand apart from their neighbours.
+_APART = set("svg text foreignobject mi mn mo mtext ms option".split())
 BLOCK = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption tbody thead tfoot tr td th".split())
 SPACED = set("p blockquote pre h1 h2 h3 h4 h5 h6 ul ol dl table figure menu".split())
 CLOSES_P = BLOCK - set("body html caption tbody thead tfoot tr td th dd dt li".split()) | {"li", "dd", "dt"}
@@ -49,7 +54,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 #: What the renderer treats in a way of its own; any other element is a block or flows inline.
-_SPECIAL = set("br hr wbr img pre table ul ol menu li blockquote dd td th".split())
+_SPECIAL = set("br hr wbr img pre textarea select table ul ol menu li blockquote dd td th".split())
 _SCOPE = {"table", "td", "th", "caption", "html", "button", "object", "template"}
 
 
@@ -109,8 +114,11 @@ def parse(html: str) -> tuple[Node, str]:
             if stack[i].tag in stop:
                 return
 
+    def foreign() -> bool:
+        return any(n.tag in ("svg", "math") for n in stack)
+
     def opened(tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, is_hidden(tag, attrs), attrs)
+        node = Node(tag, is_hidden(tag, attrs) or (tag in FOREIGN_UNSEEN and foreign()), attrs)
         stack[-1].children.append(node)
         stack.append(node)
 
@@ -166,8 +174,11 @@ def parse(html: str) -> tuple[Node, str]:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             inner = html[at : stop.start() if stop else end]
             at = stop.end() if stop else end
-            if tag == "title" and title is None:
+            if tag == "title" and title is None and not foreign():
                 title = " ".join(unescape(inner).split())
+            if tag == "textarea":
+                stack[-1].children.append(Node(tag, is_hidden(tag, attrs)))
+                stack[-1].children[-1].children.append(entities(inner))
             if tag == "xmp":
                 stack[-1].children.append(Node("pre", is_hidden(tag, attrs)))
                 stack[-1].children[-1].children.append(inner)
@@ -177,6 +188,8 @@ def parse(html: str) -> tuple[Node, str]:
                 stack[-1].children.append(Node(tag, is_hidden(tag, attrs), attrs))
             continue
         opened(tag, attrs)
+        if raw.endswith("/") and foreign():  # only there does the slash close an element
+            stack.pop()
     return root, title or ""
 
 
@@ -245,6 +258,21 @@ def _content(node: Node) -> str:
     return "".join(out)
 
 
+def _shown(select: Node) -> list[Node]:
+    """The options that a closed drop-down list shows (one) or a list box (all)."""
+    options, todo = [], [select]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and not x.hidden:
+            options += [x] if x.tag == "option" else []
+            todo += reversed(x.children)
+    size = select.attrs.get("size", "").strip()
+    if not options or "multiple" in select.attrs or (size.isascii() and size.isdigit() and int(size) > 1):
+        return options
+    chosen = [x for x in options if "selected" in x.attrs][-1:]
+    return chosen or [x for x in options if "disabled" not in x.attrs][:1]
+
+
 def _rows(tree: Node) -> tuple[list[list[Node]], list[Node], list]:
     """Rows of cells, captions, and what else stands in the table (painted before it)."""
     rows, captions, other = [], [], []
@@ -328,7 +356,10 @@ def render(root: Node, depth: int = 0) -> str:
                 continue
             tag = node.tag
             if tag not in _SPECIAL:
-                if tag in BLOCK:
+                if tag in _APART:
+                    page.flow.append(" ")
+                    todo.append(("text", " "))
+                elif tag in BLOCK:
                     page.line_break()
                     if tag in SPACED:
                         page.blank = True
@@ -352,6 +383,13 @@ def render(root: Node, depth: int = 0) -> str:
                 page.block(_content(node).strip("\n").expandtabs(8).split("\n"))
                 page.space()
                 continue
+            if tag == "textarea":
+                page.block([x for x in _content(node).expandtabs(8).split("\n") if x.strip()])
+                continue
+            if tag == "select":
+                for x in reversed(_shown(node)):
+                    todo.append(("text", f" {x.attrs['label']} ") if x.attrs.get("label") else ("open", x))
+                continue
             if tag == "table" and depth < 8:
                 page.space()
                 rows, captions, other = _rows(node)
