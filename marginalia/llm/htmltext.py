@@ -273,24 +273,25 @@ def _shown(select: Node) -> list[Node]:
     return chosen or [x for x in options if "disabled" not in x.attrs][:1]
 
 
-def _rows(tree: Node) -> tuple[list[list[Node]], list[Node], list]:
-    """Rows of cells, captions, and what else stands in the table (painted before it)."""
+def _rows(tree: Node) -> tuple[list[list[Node] | None], list[Node], list]:
+    """Rows of cells (None where a row group starts or ends), captions, and what else stands in the table (painted before it)."""
     rows, captions, other = [], [], []
     todo = list(reversed(tree.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
+        if x is None:
+            rows.append(None)
+        elif isinstance(x, str):
             if x.strip():
                 other.append(x)
         elif x.hidden:
             continue
         elif x.tag in ("tbody", "thead", "tfoot"):
-            todo += reversed(x.children)
+            todo += [None, *reversed(x.children), None]
         elif x.tag == "tr":
             cells = [c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden]
             other += [c for c in x.children if (isinstance(c, str) and c.strip()) or (isinstance(c, Node) and c.tag not in ("td", "th"))]
-            if cells:
-                rows.append(cells)
+            rows.append(cells)
         elif x.tag == "caption":
             captions.append(x)
         elif x.tag not in ("colgroup", "col"):
@@ -298,28 +299,52 @@ def _rows(tree: Node) -> tuple[list[list[Node]], list[Node], list]:
     return rows, captions, other
 
 
-def _span(cell: Node) -> int:
-    digits = cell.attrs.get("colspan", "1").strip()
-    return min(1000, max(1, int(digits))) if digits.isascii() and digits.isdigit() else 1
+def _span(cell: Node, name: str = "colspan", most: int = 1000) -> int:
+    digits = cell.attrs.get(name, "1").strip()
+    return min(most, max(1, int(digits))) if digits.isascii() and digits.isdigit() else 1
+
+
+def _placed(rows: list[list[Node] | None]) -> list[list[tuple[int, Node, int]]]:
+    """(column, cell, columns) of each row; columns that a cell from above still covers are left out."""
+    out: list[list[tuple[int, Node, int]]] = []
+    covered: dict[int, int] = {}  # column -> rows still covered, this one included
+    for row in rows:
+        if row is None:  # no cell reaches into the next row group
+            covered = {}
+            continue
+        at, line, below = 0, [], {c: n - 1 for c, n in covered.items() if n > 1}
+        for cell in row:
+            while at in covered:
+                at += 1
+            span = _span(cell)
+            down = 65534 if cell.attrs.get("rowspan", "").strip() == "0" else _span(cell, "rowspan", 65534)
+            line.append((at, cell, span))
+            if down > 1:
+                for c in range(at, at + span):
+                    below[c] = max(below.get(c, 0), down - 1)
+            at += span
+        covered = below
+        out.append(line)
+    return out
 
 
-def _aligned(grid: list[list[tuple[list[str], int]]]) -> list[str]:
+def _aligned(grid: list[list[tuple[int, list[str], int]]]) -> list[str]:
     """Lines of a table: cells of a column start at one place; a cell over several columns does not widen them."""
     widths: dict[int, int] = {}
     for row in grid:
-        at = 0
-        for lines, span in row:
+        for at, lines, span in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            at += span
     out = []
     for row in grid:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
+        for i in range(max((len(lines) for _, lines, _ in row), default=0)):
             at, line = 0, ""
-            for lines, span in row:
-                wide = sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                line += (" | " if at else "") + (lines[i] if i < len(lines) else "").ljust(wide)
-                at += span
+            for start, lines, span in row:
+                for c in range(at, start):  # covered from above
+                    line += (" | " if c else "") + " " * widths.get(c, 0)
+                wide = sum(widths.get(c, 0) for c in range(start, start + span)) + 3 * (span - 1)
+                line += (" | " if start else "") + (lines[i] if i < len(lines) else "").ljust(wide)
+                at = start + span
             out.append(line.rstrip(" ") if line.strip(" |") else line.rstrip(" |"))
     return [x for x in out if x]
 
@@ -398,12 +423,12 @@ def render(root: Node, depth: int = 0) -> str:
                     holder.children = [x] if isinstance(x, str) else x.children if x.tag == "caption" else [x]
                     page.block([y for y in render(holder, depth + 1).split("\n") if y])
                 grid = []
-                for row in rows:
+                for row in _placed(rows):
                     cells = []
-                    for c in row:
+                    for at, c, span in row:
                         holder = Node("div")
                         holder.children = c.children
-                        cells.append(([y for y in render(holder, depth + 1).split("\n") if y], _span(c)))
+                        cells.append((at, [y for y in render(holder, depth + 1).split("\n") if y], span))
                     grid.append(cells)
                 page.block(_aligned(grid))
                 page.space()

@@ -25,3 +25,9 @@ def test_select():
     assert text("<p>size <select><option>S<option selected>M<option>L</select> ok") == "size M ok"
     assert text("<p><select><option disabled>pick<optgroup label=g><option>A<option>B</select>") == "A"
     assert text("<p><select multiple><option>A<option>B</select>") == "A B"
+
+
+def test_rowspan_keeps_columns():
+    assert text("<table><tr><td rowspan=2>aa<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>") == "aa | b | c\n   | d | e\nf  | g | h"
+    assert text("<table><tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e</table>") == "a | b | c\nd |   | e"
+    assert text("<table><thead><tr><th rowspan=0>h<th>i<tbody><tr><td>x<td>y</table>") == "h | i\nx | y"
