@@ -147,7 +147,9 @@ def shards(distinct: DataFrame, shard_limit: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, radius: int = 3, shard_limit: int = 2048) -> DataFrame:
-    """(a, b): spanning stars of the sets that each shard's BK-tree connects."""
+    """(a, b): spanning stars of the sets that each shard's BK-tree connects; the shards are whole up to radius 3."""
+    if not 0 <= radius < min(map(len, LEVELS)):
+        raise ValueError(f"radius {radius}: four blocks a level find all pairs only from 0 to 3")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, values, out = None, [], []

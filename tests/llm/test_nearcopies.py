@@ -1,6 +1,7 @@
 """The pipeline's near copies against brute force over all pairs."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from marginalia.llm import nearcopies, simhash
@@ -43,3 +44,10 @@ def test_near_duplicate_stage_links_all_at_jaccard_0_8(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want and got.columns == docs.columns
     assert simhash.keep_one(docs).count() > len(want)
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [-1, 4])
+def test_radius_beyond_the_shards_is_refused(spark, radius):
+    frame = spark.createDataFrame([(0,), (1 | 1 << 16 | 1 << 32 | 1 << 48,)], "fp bigint")
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(frame, radius=radius)
