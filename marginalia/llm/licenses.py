@@ -72,7 +72,7 @@ def signatures() -> list[Rule]:
         ("ofl", rf"(?:sil )?open font {_LICENSE}", "open font", "1.0 1.1"),
         ("odbl", rf"open database {_LICENSE}", "open database", "1.0"),
         ("lppl", rf"latex project public {_LICENSE}", "latex project", "1.0 1.1 1.2 1.3"),
-        ("cecill", rf"cecill (?:free software )?(?:{_LICENSE})?", "cecill", "1.0 1.1 2.0 2.1"),
+        ("cecill", rf"cecill(?: free software)?(?: {_LICENSE})?", "cecill", "1.0 1.1 2.0 2.1"),
         ("busl", rf"business source {_LICENSE}", "business source", "1.1"),
         ("sspl", rf"server side public {_LICENSE}", "server side", "1.0"),
     ]
