@@ -14,18 +14,29 @@ _own: list[str] = []
 
 #: ASCII white space; every contract of this subpackage splits words on it.
 WHITE = " \t\n\x0b\x0c\r"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, where the session has left Spark's own default: rows here hold whole texts, and
+    a batch stands several times in the memory of the JVM and of its Python worker."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir; a folder of our own only in local mode (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="marginalia-"))
     return _own[0]
@@ -37,6 +48,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import remainder, slices, table, unit_hash
+from marginalia.llm.common import remainder, slices, small_batches, table, unit_hash
 
 ORDERS = (3, 4)
 PIECE = 1 << 20
@@ -123,6 +123,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: list[str], sh
 
 def fit(docs: DataFrame, max_docs_per_lang: int = 1500, min_count: int = 3, share: float = 0.25, seed: int = 11) -> Filters:
     """Learn from rows with an id whose crc32 mod 4 is not 2 and a language: about max_docs_per_lang of each, by hash."""
+    small_batches(docs.sparkSession)
     rows = docs.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:

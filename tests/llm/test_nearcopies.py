@@ -25,7 +25,7 @@ def survivors(rows):
                     group[i] = group[j] = min(group[i], group[j])
         if group == before:
             break
-    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+    return sorted((min((rows[i][0] is not None, rows[i][0] or 0) for i in range(len(rows)) if group[i] == g) for g in set(group)))
 
 
 def test_near_duplicate_stage_links_all_at_jaccard_0_8(spark):
@@ -38,14 +38,22 @@ def test_near_duplicate_stage_links_all_at_jaccard_0_8(spark):
     chain = [f"c{i}" for i in range(320)]
     found += [" ".join(chain[i : i + 200]) for i in range(0, 120, 15)]  # each alike the next, the ends apart
     rows = [(i, t, "clash") for i, t in enumerate(found)] + [(3, "one two", "clash")]
+    rows += [(None, " ".join(chain), "clash"), (None, "a text that stands alone", None), (9000, " ".join(chain[:200]), None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, g string")
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     want = survivors(rows)
-    assert sorted(r["doc_id"] for r in got.collect()) == want and got.columns == docs.columns
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got.collect()) == want and got.columns == docs.columns
     assert simhash.keep_one(docs).count() > len(want)
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
 
 
+def test_values_in_common_count_with_their_repeats():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = (np.sort(rng.integers(0, 12, rng.integers(0, 20))).astype(np.uint32) for _ in "ab")
+        assert nearcopies.common_of(x, y) == sum(min((x == v).sum(), (y == v).sum()) for v in range(12))
+
+
 @pytest.mark.parametrize("radius", [-1, 4])
 def test_radius_beyond_the_shards_is_refused(spark, radius):
     frame = spark.createDataFrame([(0,), (1 | 1 << 16 | 1 << 32 | 1 << 48,)], "fp bigint")
