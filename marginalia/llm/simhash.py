@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, slices, table, texts, unused
+from marginalia.llm.common import drop_scratch, materialize, slices, table, texts, unused
 
 #: Block widths of the four levels; every level cuts the bits that are left into four.
 LEVELS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
@@ -174,6 +174,11 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df in one task per half million of the rows that it has at most: small rounds write few files."""
+    return df.coalesce(1 + rows // 500_000)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is one node of its component, the same for all.
 
@@ -182,13 +187,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges, "edges")
     label = None
-    while not edges.isEmpty():
+    while rows := edges.count():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).select(F.col("a").alias("node"), "up"), "hook")
+        hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).select(F.col("a").alias("node"), "up")
+        hook = materialize(_few(hook, 2 * rows), "hook")
         while True:
             step = hook.select(F.col("node").alias("via"), F.col("up").alias("top"))
-            jumped = materialize(hook.join(step, F.col("up") == F.col("via")).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "hook")
+            jumped = hook.join(step, F.col("up") == F.col("via")).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            jumped = materialize(_few(jumped, 2 * rows), "hook")
             done = jumped.filter("moved").isEmpty()
+            drop_scratch(hook)
             hook = jumped.select("node", "up")
             if done:
                 break
@@ -196,9 +204,11 @@ def components(edges: DataFrame) -> DataFrame:
         if label is None:
             label = hook.select("node", F.col("up").alias("root"))
         else:
-            label = materialize(label.join(to_a, F.col("root") == F.col("na"), "left").select("node", F.coalesce("ua", "root").alias("root")), "label")
+            label = materialize(_few(label.join(to_a, F.col("root") == F.col("na"), "left").select("node", F.coalesce("ua", "root").alias("root")), nodes), "label")
+        nodes = label.count()
         left = edges.join(to_a, F.col("a") == F.col("na")).select("ua", "b").distinct()
-        edges = materialize(left.join(to_b, F.col("b") == F.col("nb")).filter("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct(), "edges")
+        left = left.join(to_b, F.col("b") == F.col("nb")).filter("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct()
+        edges = materialize(_few(left, rows), "edges")
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
