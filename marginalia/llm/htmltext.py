@@ -1,8 +1,9 @@
 """HTML extraction by layout-aware rendering.
 
 A tokenizer feeds a tree builder with implied end tags (p, li, dt, dd, options, table parts) and implied table parts;
-visibility rules drop what a browser would not paint (script, style, template, hidden, display:none, closed widgets;
-of a drop-down list all but the shown option; descriptions and definitions in svg and math); the
+visibility rules drop what a browser would not paint (script, style, template, hidden, display:none, closed dialogs, closed
+details but their summary; text under visibility:hidden but for elements that are visible again; of a drop-down list all but
+the shown option; descriptions and definitions in svg and math); the
 renderer emits all other text: blank lines between paragraphs and headings, list markers with nested indentation,
 preformatted text as it stands, and tables as aligned cells.
 
@@ -14,7 +15,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNEVEN = re.compile(r"[\t\n\r\f]|  |^ | $")
 _BARE = re.compile("hidden|open|selected|multiple|disabled", re.I)
 _NONE: dict[str, str] = {}
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -54,7 +56,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 #: What the renderer treats in a way of its own; any other element is a block or flows inline.
-_SPECIAL = set("br hr wbr img pre textarea select table ul ol menu li blockquote dd td th".split())
+_SPECIAL = set("details br hr wbr img pre textarea select table ul ol menu li blockquote dd td th".split())
 _SCOPE = {"table", "td", "th", "caption", "html", "button", "object", "template"}
 
 
@@ -75,10 +77,12 @@ def entities(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "attrs", "children")
+    """hidden: nothing below is painted; shown: whether its own text is, which elements below may change."""
 
-    def __init__(self, tag: str, hidden: bool = False, attrs: dict[str, str] | None = None) -> None:
-        self.tag, self.hidden, self.attrs, self.children = tag, hidden, attrs or _NONE, []
+    __slots__ = ("tag", "hidden", "shown", "attrs", "children")
+
+    def __init__(self, tag: str, hidden: bool = False, attrs: dict[str, str] | None = None, shown: bool = True) -> None:
+        self.tag, self.hidden, self.shown, self.attrs, self.children = tag, hidden, shown, attrs or _NONE, []
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -97,30 +101,48 @@ def is_hidden(tag: str, attrs: dict[str, str]) -> bool:
     return "style" in attrs and bool(_HIDDEN_STYLE.search(attrs["style"]))
 
 
+def is_shown(inherited: bool, attrs: dict[str, str]) -> bool:
+    """Whether text is visible by the visibility property, which an element may set against its parents."""
+    said = _VISIBILITY.findall(attrs["style"]) if "style" in attrs else []
+    return said[-1].lower() == "visible" if said else inherited
+
+
 def parse(html: str) -> tuple[Node, str]:
     """The tree and the text of the first title element."""
     root, title, at, end = Node("html"), None, 0, len(html)
     stack = [root]
+    count: dict[str, int] = {}  # open elements by tag
 
     def text(part: str) -> None:
-        if part:
+        if part and stack[-1].shown:
             stack[-1].children.append(entities(part))
 
     def close(tags: set[str], stop: set[str]) -> None:
+        if not any(count.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                for n in stack[i:]:
+                    count[n.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in stop:
                 return
 
     def foreign() -> bool:
-        return any(n.tag in ("svg", "math") for n in stack)
+        return bool(count.get("svg") or count.get("math"))
 
-    def opened(tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, is_hidden(tag, attrs) or (tag in FOREIGN_UNSEEN and foreign()), attrs)
+    def made(tag: str, attrs: dict[str, str]) -> Node:
+        node = Node(tag, is_hidden(tag, attrs) or (tag in FOREIGN_UNSEEN and foreign()), attrs, is_shown(stack[-1].shown, attrs))
         stack[-1].children.append(node)
-        stack.append(node)
+        return node
+
+    def opened(tag: str, attrs: dict[str, str]) -> None:
+        stack.append(made(tag, attrs))
+        count[tag] = count.get(tag, 0) + 1
+
+    def leave() -> None:
+        count[stack.pop().tag] -= 1
 
     while at < end:
         begin = html.find("<", at)
@@ -141,7 +163,7 @@ def parse(html: str) -> tuple[Node, str]:
             text(html[at:begin])
         at = m.end()
         if ending:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not count.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag in BLOCK:
                 close({tag}, {"table"} - {tag})
@@ -152,14 +174,15 @@ def parse(html: str) -> tuple[Node, str]:
             continue
         attrs = attributes(raw) if raw and ("=" in raw or _BARE.search(raw)) else _NONE
         if tag in ("html", "body", "head"):
-            if tag != "head" and is_hidden(tag, attrs):
-                root.hidden = True
+            if tag != "head":
+                root.hidden = root.hidden or is_hidden(tag, attrs)
+                root.shown = is_shown(root.shown, attrs)
             if tag == "body":
                 close({"head"}, set())
             if tag != "head":
                 continue
         elif stack[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
-            stack.pop()
+            leave()
         if tag in CLOSES_P:
             close({"p"}, _SCOPE)
         if tag in CLOSES:
@@ -167,8 +190,8 @@ def parse(html: str) -> tuple[Node, str]:
             if tag == "tr":
                 close({"tr"}, {"table", "tbody", "thead", "tfoot"})
         if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
-            stack.pop()
-        if tag in ("td", "th") and stack[-1].tag != "tr" and any(n.tag == "table" for n in stack):
+            leave()
+        if tag in ("td", "th") and stack[-1].tag != "tr" and count.get("table"):
             opened("tr", {})
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -176,20 +199,17 @@ def parse(html: str) -> tuple[Node, str]:
             at = stop.end() if stop else end
             if tag == "title" and title is None and not foreign():
                 title = " ".join(unescape(inner).split())
-            if tag == "textarea":
-                stack[-1].children.append(Node(tag, is_hidden(tag, attrs)))
-                stack[-1].children[-1].children.append(entities(inner))
-            if tag == "xmp":
-                stack[-1].children.append(Node("pre", is_hidden(tag, attrs)))
-                stack[-1].children[-1].children.append(inner)
+            if tag in ("textarea", "xmp"):
+                node = made("pre" if tag == "xmp" else tag, attrs)
+                node.children += [inner if tag == "xmp" else entities(inner)] if node.shown else []
             continue
         if tag in VOID:
             if tag in ("br", "hr", "img", "wbr"):
-                stack[-1].children.append(Node(tag, is_hidden(tag, attrs), attrs))
+                made(tag, attrs)
             continue
         opened(tag, attrs)
         if raw.endswith("/") and foreign():  # only there does the slash close an element
-            stack.pop()
+            leave()
     return root, title or ""
 
 
@@ -349,8 +369,27 @@ def _aligned(grid: list[list[tuple[int, list[str], int]]]) -> list[str]:
     return [x for x in out if x]
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """The visible text below root."""
+def render(root: Node) -> str:
+    """The visible text below root; tables in cells of tables wait on a list here, not on the call stack."""
+    running, done = [_render(root)], None
+    while running:
+        try:
+            running.append(_render(running[-1].send(done)))
+            done = None
+        except StopIteration as end:
+            running.pop()
+            done = end.value
+    return done
+
+
+def _holder(children: list) -> Node:
+    out = Node("div")
+    out.children = children
+    return out
+
+
+def _render(root: Node) -> Generator[Node, str, str]:
+    """Yields what is to be rendered apart, takes its text, returns the text below root."""
     page = Layout()
     lists: list[list] = []  # open lists: [ordered, next number]
     todo: list = [("open", root)]
@@ -401,7 +440,7 @@ def render(root: Node, depth: int = 0) -> str:
             if tag == "wbr":
                 continue
             if tag == "img":
-                page.inline(" " + node.attrs.get("alt", "") + " " if node.attrs.get("alt") else "")
+                page.inline(" " + node.attrs.get("alt", "") + " " if node.attrs.get("alt") and node.shown else "")
                 continue
             if tag == "pre":
                 page.space()
@@ -413,22 +452,25 @@ def render(root: Node, depth: int = 0) -> str:
                 continue
             if tag == "select":
                 for x in reversed(_shown(node)):
-                    todo.append(("text", f" {x.attrs['label']} ") if x.attrs.get("label") else ("open", x))
+                    todo.append(("text", f" {x.attrs['label']} ") if x.attrs.get("label") and x.shown else ("open", x))
+                continue
+            if tag == "details" and "open" not in node.attrs:  # closed: its summary alone is painted
+                summary = next((x for x in node.children if isinstance(x, Node) and x.tag == "summary"), None)
+                page.line_break()
+                todo += [("close", node), *([("open", summary)] if summary else [])]
                 continue
-            if tag == "table" and depth < 8:
+            if tag == "table":
                 page.space()
                 rows, captions, other = _rows(node)
                 for x in [*captions, *other]:
-                    holder = Node("div")
-                    holder.children = [x] if isinstance(x, str) else x.children if x.tag == "caption" else [x]
-                    page.block([y for y in render(holder, depth + 1).split("\n") if y])
+                    shown = yield _holder(x.children if isinstance(x, Node) and x.tag == "caption" else [x])
+                    page.block([y for y in shown.split("\n") if y])
                 grid = []
                 for row in _placed(rows):
                     cells = []
                     for at, c, span in row:
-                        holder = Node("div")
-                        holder.children = c.children
-                        cells.append((at, [y for y in render(holder, depth + 1).split("\n") if y], span))
+                        shown = yield _holder(c.children)
+                        cells.append((at, [y for y in shown.split("\n") if y], span))
                     grid.append(cells)
                 page.block(_aligned(grid))
                 page.space()
