@@ -199,12 +199,12 @@ def scored(stats: DataFrame, forest: Forest, carry: tuple[str, ...]) -> DataFram
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, base counts, base_failed, anomaly, kept for every document."""
+    """doc_id, base counts, base_failed, kept, anomaly for every document."""
     stats = materialize(rule_statistics(docs), "quality")
     model = fit(stats, labels, **options)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = scored(stats, model.forest, ("doc_id", *COUNTS)).withColumn("base_failed", failed)
-    return out.select("doc_id", *COUNTS, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") < F.lit(model.threshold))).alias("kept"))
+    return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("anomaly") < F.lit(model.threshold))).alias("kept"), "anomaly")
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
