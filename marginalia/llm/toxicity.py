@@ -10,7 +10,7 @@ Both passes run over all tokens of a batch at once: the recursions are products
 products are scanned first; a document's first token carries a rank-one matrix, which resets the chain.
 
 Defined cases: a null, empty or letterless text has no tokens and gets the score of a text without toxic tokens; with no
-training rows of both labels every score is 0; repeated rows stay; an empty table gives an empty result; extra columns are
+training rows of both labels every score is 0 and no span is found; repeated rows stay; an empty table gives an empty result; extra columns are
 ignored. Labels with several rows for one document count as toxic if any says so.
 """
 
@@ -122,9 +122,10 @@ class Field:
         one, zero = ahead * behind / e1, (1 - ahead) * (1 - behind)
         return one / (one + zero), ahead, behind
 
-    def documents(self, raws: list[bytes]) -> list[float]:
+    def documents(self, raws: list[bytes], threshold: float = 0.5) -> tuple[list[float], list[list[Span]]]:
+        """Score and offending spans of each text."""
         if self.document is None:
-            return [0.0] * len(raws)
+            return [0.0] * len(raws), [[] for _ in raws]
         words = [tokens(r) for r in raws]
         sizes = np.array([len(w) for w in words])
         flat = self.emissions([w for ws in words for w in ws])
@@ -132,7 +133,27 @@ class Field:
         starts = (ends - sizes)[sizes > 0]
         p = self.marginals(flat, starts)[0] if len(flat) else np.zeros(0)
         x = aggregates(p, sizes)
-        return (1 / (1 + np.exp(-np.clip(x @ self.document, -40, 40)))).tolist()
+        found: list[list[Span]] = [[] for _ in raws]
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(p >= threshold), "right")):
+            found[i] = spans_of(raws[i], p[ends[i] - sizes[i] : ends[i]], threshold)
+        return (1 / (1 + np.exp(-np.clip(x @ self.document, -40, 40)))).tolist(), found
+
+
+Span = tuple[int, int, str, float]
+
+
+def spans_of(raw: bytes, p: np.ndarray, threshold: float) -> list[Span]:
+    """(start, end, text, peak marginal) of each run of tokens with a marginal of threshold or more; offsets in code points."""
+    hot = np.flatnonzero(np.diff(np.concatenate([[False], p >= threshold, [False]]).astype(np.int8)))
+    places = [m.span() for m in _TOKEN.finditer(raw)]
+    out, at, chars = [], 0, 0
+    for i, j in zip(hot[::2].tolist(), hot[1::2].tolist()):
+        a, b = places[i][0], places[j - 1][1]
+        chars += len(raw[at:a].decode("utf-8", "replace"))
+        said = raw[a:b].decode("utf-8", "replace")
+        out.append((chars, chars + len(said), said, float(p[i:j].max())))
+        at, chars = b, chars + len(said)
+    return out
 
 
 def aggregates(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -268,46 +289,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
     return train(texts(pa.concat_arrays(rows.column("text").chunks) if rows.num_rows else pa.array([], pa.string())), [x == 1 for x in rows.column("_toxic").to_pylist()], sizes[1] / (sizes[0] + sizes[1]))
 
 
-def score(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text."""
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("said", pa.string()), ("peak", pa.float64())]))
+
+
+def score(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted and offending spans (start, end in code points, said, peak) of every whole text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that fit() reads
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = np.array(shipped.value.documents(texts(batch.column(2))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            scores, spans = shipped.value.documents(texts(batch.column(2)), threshold)
+            found = np.array(scores)
+            shown = pa.array([[dict(zip(("start", "end", "said", "peak"), x)) for x in row] for row in spans], SPANS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found), pa.array((found >= 0.5).astype(np.int32)), shown], ["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<start: bigint, end: bigint, said: string, peak: double>>")
 
 
 def spans(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, end (code points), text and peak marginal of each run of tokens with a marginal of threshold or more."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            out = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                places = [m.span() for m in _TOKEN.finditer(raw)]
-                words = [raw[a:b].decode("utf-8", "replace").lower().encode() for a, b in places]
-                if not words or model.document is None:
-                    continue
-                p = shipped.value.marginals(shipped.value.emissions(words), np.zeros(1, np.int64))[0]
-                hot, i = p >= threshold, 0
-                while i < len(hot):
-                    j = i
-                    while j < len(hot) and hot[j]:
-                        j += 1
-                    if j > i:
-                        a, b = places[i][0], places[j - 1][1]
-                        start, said = len(raw[:a].decode("utf-8", "replace")), raw[a:b].decode("utf-8", "replace")
-                        out.append((doc_id, start, start + len(said), said, float(p[i:j].max())))
-                    i = max(j, i + 1)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "start", "end", "said", "peak"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, end bigint, said string, peak double")
+    return score(docs, model, threshold).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
