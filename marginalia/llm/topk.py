@@ -9,7 +9,7 @@ broadcast stays bounded; candidates are never gathered.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors
 of different lengths compare as if filled up with zeros; an empty vector scores 0 with all; rows that share the query's id
-are its own; repeated candidate rows count as rows; components beyond +-2^62 / scale saturate, and scores beyond 64 bits
+are its own; query rows of one id and different vectors are queries of their own, equal ones one; repeated candidate rows count as rows; components beyond +-2^62 / scale saturate, and scores beyond 64 bits
 saturate as well; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -130,10 +130,10 @@ def _select(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
             start = np.searchsorted(q, q)  # first place of each query
             best = np.arange(len(q)) - start < k
             q, c, s = q[best], c[best], s[best]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[q]), pa.array(c), pa.array(s)], ["q", "query_id", "vec_id", "score"])
 
-    near = candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")  # k rows a query and task at most
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = candidates.mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint")  # k rows a query and task at most
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -169,8 +169,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.e, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
