@@ -2,8 +2,9 @@
 
 A text is lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; signatures are regular expressions over the
 words joined by single spaces, so that line breaks and marks never matter. A signature runs only if its keyword stands in
-the text (one Aho-Corasick pass decides for all). Detections are resolved in order of priority: one that lies inside a
-kept detection of higher or equal priority is dropped. The base phrases are searched beside them, and their labels stay.
+the text (one Aho-Corasick pass decides for all). Detections are resolved in order of priority: one that overlaps a kept
+detection of higher priority is dropped, and so is one that lies inside another of its own. The base phrases are searched
+beside them, and their labels stay.
 
 Defined cases: a null, empty or wordless text has zero words, null positions, empty labels and score 0; overlapping
 places of a phrase all count; repeated rows stay; an empty table gives an empty result; extra columns are ignored.
@@ -13,121 +14,19 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import slices, table, texts
+from marginalia.llm.signatures import Rule, signatures
 
 _BLANK = bytes(32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 #: The phrases of the contract with their labels.
 BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
-_LICENSE = r"licen[cs]e"
-_BY = rf"(?:licen[cs]ed|released|distributed|available|provided|published|covered) (?:\S+ ){{0,3}}?(?:under|by)"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """Lower priority numbers come first; keyword must be a literal part of every match."""
-
-    label: str
-    pattern: str
-    keyword: str
-    priority: int
-    weight: float
-
-
-def _versions(texts: str) -> list[tuple[str, str]]:
-    """("2.0", words pattern) of each; a final .0 may be left out."""
-    return [(v, r" ".join(v.split(".")) if not v.endswith(".0") else v[:-2] + r"(?: 0)?") for v in texts.split()]
-
-
-def signatures() -> list[Rule]:
-    """The rules in order: exact grants with a version, then names with a version, then bare names, then weak hints."""
-    rules: list[Rule] = []
-
-    def add(label: str, pattern: str, keyword: str, priority: int, weight: float) -> None:
-        rules.append(Rule(label, pattern, keyword, priority, weight))
-
-    families = [  # label stem, name over words, keyword, versions
-        ("apache", rf"apache (?:software )?{_LICENSE}", "apache", "1.0 1.1 2.0"),
-        ("agpl", rf"(?:gnu )?affero general public {_LICENSE}", "affero", "1.0 3.0"),
-        ("lgpl", rf"(?:gnu )?(?:lesser|library) general public {_LICENSE}", "general public", "2.0 2.1 3.0"),
-        ("gpl", rf"(?:gnu )?general public {_LICENSE}", "general public", "1.0 2.0 3.0"),
-        ("fdl", rf"(?:gnu )?free documentation {_LICENSE}", "free documentation", "1.1 1.2 1.3"),
-        ("mpl", rf"mozilla public {_LICENSE}", "mozilla", "1.0 1.1 2.0"),
-        ("epl", rf"eclipse public {_LICENSE}", "eclipse", "1.0 2.0"),
-        ("cddl", rf"common development and distribution {_LICENSE}", "common development", "1.0 1.1"),
-        ("cpl", rf"common public {_LICENSE}", "common public", "1.0"),
-        ("eupl", rf"european union public licen[cs]e", "european union", "1.0 1.1 1.2"),
-        ("afl", rf"academic free {_LICENSE}", "academic free", "1.1 1.2 2.0 2.1 3.0"),
-        ("osl", rf"open software {_LICENSE}", "open software", "1.0 1.1 2.0 2.1 3.0"),
-        ("artistic", rf"artistic {_LICENSE}", "artistic", "1.0 2.0"),
-        ("bsl", rf"boost software {_LICENSE}", "boost software", "1.0"),
-        ("zpl", rf"zope public {_LICENSE}", "zope", "1.1 2.0 2.1"),
-        ("psf", rf"python software foundation {_LICENSE}", "python software", "2.0"),
-        ("ofl", rf"(?:sil )?open font {_LICENSE}", "open font", "1.0 1.1"),
-        ("odbl", rf"open database {_LICENSE}", "open database", "1.0"),
-        ("lppl", rf"latex project public {_LICENSE}", "latex project", "1.0 1.1 1.2 1.3"),
-        ("cecill", rf"cecill(?: free software)?(?: {_LICENSE})?", "cecill", "1.0 1.1 2.0 2.1"),
-        ("busl", rf"business source {_LICENSE}", "business source", "1.1"),
-        ("sspl", rf"server side public {_LICENSE}", "server side", "1.0"),
-    ]
-    for stem, name, keyword, versions in families:
-        for version, words in _versions(versions):
-            number = rf"(?: version| v)? v?{words}(?! \d)"
-            add(f"{stem}-{version}", rf"{_BY} (?:the |a )?(?:terms of (?:the )?)?{name}{number}", keyword, 10, 0.98)
-            add(f"{stem}-{version}", rf"{name}{number}", keyword, 20, 0.9)
-            add(f"{stem}-{version}-or-later", rf"{name}{number} or (?:any )?later", keyword, 5, 0.99)
-        add(stem, rf"{_BY} (?:the |a )?(?:terms of (?:the )?)?{name}", keyword, 30, 0.85)
-        add(stem, name, keyword, 40, 0.7)
-    for short in "agpl lgpl gpl mpl epl cddl eupl afl osl zpl ofl odbl lppl cecill sspl bsl".split():
-        add(short, rf"{short}(?: version| v)? v?\d(?: \d)?", short, 45, 0.75)
-        add(short, rf"{_BY} (?:the )?{short}", short, 45, 0.75)
-        add(short, rf"spdx {_LICENSE} identifier {short}", short, 15, 0.95)
-
-    parts = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
-    for kind in ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by"):
-        codes = kind.split("-")
-        short, long = "cc " + " ".join(codes), "creative commons " + " ".join(parts[c] for c in codes)
-        rest = r"(?! (?:nc|nd|sa)\b)" if len(codes) < 3 else ""
-        for version, words in _versions("1.0 2.0 2.5 3.0 4.0"):
-            add(f"cc-{kind}-{version}", rf"{short} {words}(?! \d)", "cc by", 15, 0.95)
-            add(f"cc-{kind}-{version}", rf"{long}(?: (?:international|unported|generic))?(?: public)?(?: {_LICENSE})? (?:version |v )?{words}(?! \d)", "creative commons", 15, 0.95)
-            add(f"cc-{kind}-{version}", rf"creativecommons org licenses {' '.join(codes)} {words}(?! \d)", "creativecommons", 8, 0.98)
-        add(f"cc-{kind}", short + rest, "cc by", 35, 0.8)
-        add(f"cc-{kind}", long, "creative commons", 35, 0.8)
-    add("cc0-1.0", r"cc0(?: 1(?: 0)?)?", "cc0", 15, 0.95)
-    add("cc0-1.0", r"creativecommons org publicdomain zero 1 0", "creativecommons", 8, 0.98)
-    add("cc", rf"creative commons {_LICENSE}", "creative commons", 40, 0.7)
-
-    for n in "0 2 3 4".split():
-        add(f"bsd-{n}-clause", rf"bsd {n} clause", "bsd", 20, 0.92)
-        add(f"bsd-{n}-clause", rf"{n} clause bsd", "bsd", 20, 0.92)
-    for number, word in (("2", "simplified"), ("3", "new"), ("3", "revised"), ("3", "modified"), ("4", "original")):
-        add(f"bsd-{number}-clause", rf"{word} bsd {_LICENSE}", "bsd", 22, 0.9)
-    add("bsd-3-clause", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used", "neither the name", 12, 0.9)
-    add("bsd", rf"(?:berkeley software distribution|bsd(?: style)?) {_LICENSE}", "bsd", 40, 0.75)
-    for name, label, keyword in (("mit", "mit", "mit"), ("expat", "mit", "expat"), ("x11", "x11", "x11"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"), ("libpng", "libpng", "libpng"), ("unlicense", "unlicense", "unlicense"), ("beerware", "beerware", "beerware"), ("wtfpl", "wtfpl", "wtfpl"), ("ms pl", "ms-pl", "ms pl"), ("ms rl", "ms-rl", "ms rl"), ("postgresql", "postgresql", "postgresql"), ("php", "php", "php"), ("ruby", "ruby", "ruby"), ("openssl", "openssl", "openssl"), ("ncsa", "ncsa", "ncsa"), ("upl", "upl", "upl"), ("blueoak", "blueoak", "blueoak")):
-        add(label, rf"{_BY} (?:the |an? )?(?:terms of (?:the )?)?{name} {_LICENSE}", keyword, 20, 0.95)
-        add(label, rf"{name}(?: style)? {_LICENSE}", keyword, 30, 0.85)
-        add(label, rf"spdx {_LICENSE} identifier {name}(?: \d \d)?", keyword, 15, 0.95)
-        add(label, rf"{_LICENSE} {name}$", keyword, 50, 0.5)
-    add("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge", 12, 0.95)
-    add("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee", 12, 0.95)
-    add("apache-2.0", rf"you may not use this file except in compliance with the {_LICENSE}", "in compliance with the", 25, 0.8)
-    add("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 12, 0.95)
-    add("public-domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", "public domain", 30, 0.85)
-    add("public-domain", r"public domain", "public domain", 50, 0.5)
-    add("proprietary", r"proprietary and confidential", "proprietary", 40, 0.7)
-    add("proprietary", r"unauthori[sz]ed (?:copying|reproduction|distribution)", "unauthori", 40, 0.7)
-    add("no-warranty", r"(?:provided )?as is without warrant(?:y|ies) of any kind", "without warrant", 50, 0.4)
-    add("copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", "copyright", 50, 0.5)
-    add("all-rights-reserved", r"all rights reserved", "rights reserved", 45, 0.6)
-    return sorted(rules, key=lambda r: r.priority)  # stable: listed order within a priority
 
 
 class Scanner:
@@ -137,7 +36,7 @@ class Scanner:
         import ahocorasick
 
         self.rules = rules
-        self.compiled = [re.compile(rf"(?<!\S){r.pattern}(?!\S)") for r in rules]
+        self.compiled = [re.compile(rf"(?<!\S)(?:{r.pattern})(?!\S)") for r in rules]
         by_keyword: dict[str, list[int]] = {}
         for i, rule in enumerate(rules):
             by_keyword.setdefault(rule.keyword, []).append(i)
@@ -148,13 +47,40 @@ class Scanner:
 
     def scan(self, joined: str) -> list[tuple[str, int, int, float]]:
         """(label, start, end, weight) of the kept detections, in characters of the joined words."""
-        candidates = sorted({i for _, indexes in self.automaton.iter(joined) for i in indexes})
-        kept: list[tuple[str, int, int, float]] = []
-        for i in candidates:
-            for m in self.compiled[i].finditer(joined):
-                if m.end() > m.start() and not any(a <= m.start() and m.end() <= b for _, a, b, _ in kept):
-                    kept.append((self.rules[i].label, m.start(), m.end(), self.rules[i].weight))
-        return sorted(kept, key=lambda d: (d[1], d[2], d[0]))
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for i in {i for _, indexes in self.automaton.iter(joined) for i in indexes}:
+            found.setdefault(self.rules[i].priority, []).extend((m.start(), -m.end(), i) for m in self.compiled[i].finditer(joined) if m.end() > m.start())
+        return sorted((self.rules[i].label, a, b, self.rules[i].weight) for a, b, i in resolve(found))
+
+
+def resolve(found: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of the kept ones of {priority: [(start, -end, rule)]}.
+
+    A detection goes if it overlaps a kept one of higher priority, or lies inside one of its own priority (of equal places
+    the first rule's stays). Sorted places and bisection keep this linear but for the sorting.
+    """
+    kept: list[tuple[int, int, int]] = []
+    starts: list[int] = []  # disjoint places that higher priorities cover
+    ends: list[int] = []
+    for priority in sorted(found):
+        reach, level = -1, []
+        for start, end, i in sorted(found[priority]):
+            end = -end
+            at = bisect_left(ends, start + 1)  # the first covered place that ends after start
+            if at < len(starts) and starts[at] < end or end <= reach:
+                continue
+            reach = max(reach, end)
+            level.append((start, end, i))
+        kept += level
+        covered = sorted([*zip(starts, ends), *((a, b) for a, b, _ in level)])
+        starts, ends = [], []
+        for a, b in covered:
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+    return kept
 
 
 @functools.lru_cache(maxsize=1)
@@ -171,9 +97,11 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     """(first word, label) of every place of a base phrase in space-joined words."""
     padded, found = b" " + joined + b" ", []
     for phrase, label in BASE.items():
+        word = last = 0
         at = padded.find(b" " + phrase + b" ")
         while at >= 0:
-            found.append((padded.count(b" ", 0, at), label))
+            word, last = word + padded.count(b" ", last, at), at
+            found.append((word, label))
             at = padded.find(b" " + phrase + b" ", at + 1)
     return sorted(found)
 
@@ -216,7 +144,8 @@ def spans(docs: DataFrame) -> DataFrame:
             out = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 joined = b" ".join(normalize(raw)).decode("utf-8", "replace")
-                out += [(doc_id, label, joined.count(" ", 0, a), joined.count(" ", 0, b), w) for label, a, b, w in scanner().scan(joined)]
+                blanks = [m.start() for m in re.finditer(" ", joined)]
+                out += [(doc_id, label, bisect_left(blanks, a), bisect_left(blanks, b), w) for label, a, b, w in scanner().scan(joined)]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "label", "first_word", "last_word", "weight"])
 
