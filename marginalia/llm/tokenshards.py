@@ -3,14 +3,14 @@ r"""Token ids in sorted-string-table shards.
 Documents are dealt by ranges of doc_id, sorted, and each task writes one shard file of the following layout to the shared
 scratch folder; a document's ids end with the end id.
 
-    block*   entries, prefix-compressed against the previous key of the block and deflated:
+    block*   uint32 size, then entries, prefix-compressed against the previous key of the block and compressed (zstd):
              varint shared, varint rest, rest key bytes, varint value length, value (ids as little-endian uint32)
     index    per block: length-prefixed last key, offset and size (uint64, uint32)
     bloom    bit array over all keys, double hashing of their XXH64
     footer   index offset, bloom offset, bloom hashes, entries, tokens, magic (fixed size)
 
 Keys are ``\x00`` for a null id, else ``\x01`` and the id as big-endian with its sign bit flipped, so that byte order is id
-order; rows of one id follow each other in the order of their text. Lookup reads the footer, asks the filter, bisects the
+order; rows of one id follow each other in the order of their text within a shard, of its hash between shards. Lookup reads the footer, asks the filter, bisects the
 sparse index and scans one block.
 
 A task writes under an attempt's own name and moves the file into place, so a repeated task is harmless. Defined cases:
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import fresh_path, table
 
-MAGIC = b"MSST0001"
+MAGIC = b"MSST0002"
+CODEC = pa.Codec("zstd", 1)
 FOOTER = struct.Struct("<QQIQQ8s")
-BLOCK_BYTES = 1 << 16
+#: Sizes at which a block and a shard (by the text that it encodes) are full.
+BLOCK_BYTES, SHARD_BYTES = 1 << 16, 32 << 20
 #: Characters that the byte-level splitting rule surely treats as letters or digits, as marks, and as white space; no
 #: apostrophe, as contractions tie a mark to the letters after it.
 _WORD = "A-Za-z0-9À-ÖØ-öø-ɏ"
@@ -165,7 +167,7 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.block:
-            data = zlib.compress(bytes(self.block), 1)
+            data = struct.pack("<I", len(self.block)) + CODEC.compress(bytes(self.block), asbytes=True)
             self.stream.write(data)
             self.index.append((self.last, self.offset, len(data)))
             self.offset += len(data)
@@ -203,7 +205,8 @@ class ShardReader:
 
     def _block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         self.file.seek(self.places[i][0])
-        data, at, key = zlib.decompress(self.file.read(self.places[i][1])), 0, b""
+        packed, at, key = self.file.read(self.places[i][1]), 0, b""
+        data = CODEC.decompress(packed[4:], struct.unpack_from("<I", packed)[0], asbytes=True)
         while at < len(data):
             shared, at = _read_varint(data, at)
             rest, at = _read_varint(data, at)
@@ -228,9 +231,13 @@ class ShardReader:
         return found
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Encode and write all documents; one row a shard: path, entries, tokens, first (its first key), start (ids before it)."""
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encode and write all documents; one row a shard: path, entries, tokens, first (its first key), start (ids before it).
+
+    Shards get about shard_bytes of text each, so their number follows the input, and what a task holds does not."""
     spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n_shards = max(1, -(-n_bytes // shard_bytes))
     folder = fresh_path(spark, "shards")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +260,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             fs.move(draft, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "first": [first], "entries": [writer.entries], "tokens": [writer.tokens]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(n_shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(run, "part bigint, path string, first binary, entries bigint, tokens bigint").collect()  # a row a shard
     rows, start = [], 0
     for r in sorted(shards, key=lambda r: r["part"]):
