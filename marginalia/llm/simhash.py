@@ -192,8 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
         hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).select(F.col("a").alias("node"), "up")
         hook = materialize(_few(hook, 2 * rows), "hook")
         while True:
-            step = hook.select(F.col("node").alias("via"), F.col("up").alias("top"))
-            jumped = hook.join(step, F.col("up") == F.col("via")).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            one, two = (hook.select(F.col("node").alias(f"n{x}"), F.col("up").alias(f"u{x}")) for x in "12")
+            jumped = hook.join(one, F.col("up") == F.col("n1")).join(two, F.col("u1") == F.col("n2")).select("node", F.col("u2").alias("up"), (F.col("u2") != F.col("up")).alias("moved"))
             jumped = materialize(_few(jumped, 2 * rows), "hook")
             done = jumped.filter("moved").isEmpty()
             drop_scratch(hook)
@@ -202,10 +202,9 @@ def components(edges: DataFrame) -> DataFrame:
                 break
         to_a, to_b = (hook.select(F.col("node").alias(f"n{x}"), F.col("up").alias(f"u{x}")) for x in "ab")
         if label is None:
-            label = hook.select("node", F.col("up").alias("root"))
+            label, nodes = hook.select("node", F.col("up").alias("root")), 2 * rows
         else:
             label = materialize(_few(label.join(to_a, F.col("root") == F.col("na"), "left").select("node", F.coalesce("ua", "root").alias("root")), nodes), "label")
-        nodes = label.count()
         left = edges.join(to_a, F.col("a") == F.col("na")).select("ua", "b").distinct()
         left = left.join(to_b, F.col("b") == F.col("nb")).filter("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct()
         edges = materialize(_few(left, rows), "edges")
