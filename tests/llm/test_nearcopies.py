@@ -54,6 +54,15 @@ def test_values_in_common_count_with_their_repeats():
         assert nearcopies.common_of(x, y) == sum(min((x == v).sum(), (y == v).sum()) for v in range(12))
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 40, 900):
+        x, y = (np.unique(rng.integers(0, 1 << 62, n + k).astype(np.uint64)) for k in (0, 7))
+        y = np.unique(np.concatenate([x[: n // 2], y]))
+        bits = sum((int(a) ^ int(b)).bit_count() for a, b in zip(nearcopies.parities(x).view(np.uint64), nearcopies.parities(y).view(np.uint64)))
+        assert bits <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize("radius", [-1, 4])
 def test_radius_beyond_the_shards_is_refused(spark, radius):
     frame = spark.createDataFrame([(0,), (1 | 1 << 16 | 1 << 32 | 1 << 48,)], "fp bigint")
