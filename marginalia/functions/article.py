@@ -8,7 +8,9 @@ fields; a page whose one format fails still has the other.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -67,13 +69,20 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("#root", {})
         self.open = [self.root]
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.depth = 0
+
+    def _leave(self, i: int) -> None:
+        for element in self.open[i:]:
+            self.count[element.tag] -= 1
+        del self.open[i:]
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
+            if self.open[i].tag in stop or not any(map(self.count.get, tags)):
                 break
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._leave(i)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         found: dict[str, str] = {}
@@ -85,13 +94,17 @@ class _Builder(HTMLParser):
             self._close({"p"}, BLOCKS - {"p"})
         element = Element(tag, found)
         self.open[-1].inside.append(element)
-        if tag not in VOID and len(self.open) < 500:
+        if tag not in VOID:
             self.open.append(element)
+            self.count[tag] = self.count.get(tag, 0) + 1
+            self.depth = max(self.depth, len(self.open))
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.count.get(tag):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._leave(i)
                 return
             if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
@@ -101,13 +114,29 @@ class _Builder(HTMLParser):
 
 
 def tree(html: str) -> Element:
+    return _built(html)[0]
+
+
+def _built(html: str) -> tuple[Element, int]:
+    """The tree and how deep its elements nest."""
     builder = _Builder()
     try:
         builder.feed(html)
         builder.close()
     except AssertionError:  # malformed marked sections: what was read so far stands
         pass
-    return builder.root
+    return builder.root, builder.depth
+
+
+@contextmanager
+def deep(levels: int) -> Iterator[None]:
+    """Room for the renderers' calls on a tree of so many levels; theirs are Python frames alone, which live on the heap."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 4 * levels + 1000))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def squeeze(text: str) -> str:
@@ -207,7 +236,7 @@ class Markdown:
             marks = fence(code, 1)
             code = f" {code} " if code[0] == "`" or code[-1] == "`" else code
             return marks + (code.replace("|", "\\|") if cell else code) + marks
-        said = "".join(self.inline(c, cell) for c in item.inside)
+        said = "".join([self.inline(c, cell) for c in item.inside])
         if tag == "a":
             url = self.link(item)
             return f"[{said.strip()}]({url})" if url and said.strip() else said
@@ -248,7 +277,7 @@ class Markdown:
     def block(self, element: Element) -> list[str]:
         tag = element.tag
         if re.fullmatch("h[1-6]", tag):
-            said = squeeze("".join(self.inline(c) for c in element.inside))
+            said = squeeze("".join([self.inline(c) for c in element.inside]))
             return [f"{'#' * int(tag[1])} {said}"] if said else []
         if tag == "pre":
             return self.code(element)
@@ -303,7 +332,7 @@ class Markdown:
         if not rows:
             return out
         self.counts["tables"] += 1
-        shown = [["" if c is None else squeeze("".join(self.cell(x) for x in c.inside)) for c in row] for row in rows]
+        shown = [["" if c is None else squeeze("".join([self.cell(x) for x in c.inside])) for c in row] for row in rows]
         if not header:
             shown.insert(0, [""] * len(shown[0]))
         lines = ["| " + " | ".join(row) + " |" for row in shown]
@@ -316,12 +345,12 @@ class Markdown:
         if item.tag == "code":
             return self.inline(item, cell=True)
         if item.tag == "a":
-            said = squeeze("".join(self.cell(c) for c in item.inside))
+            said = squeeze("".join([self.cell(c) for c in item.inside]))
             url = self.link(item)
             return f"[{said}]({url})" if url and said else said
         if item.tag in SKIPPED:
             return ""
-        said = "".join(self.cell(c) for c in item.inside)
+        said = "".join([self.cell(c) for c in item.inside])
         return f" {said} " if item.tag in BLOCKS or item.tag == "br" else said
 
 
@@ -364,17 +393,19 @@ def extract(html: str | None, url: str = "") -> dict:
     blank = dict.fromkeys(("title", "text", "markdown", "references", "references_truncated", "code_blocks", "tables", "text_error", "markdown_error"))
     if html is None:
         return blank
-    root = tree(html)
+    root, levels = _built(html)
     part = main_part(root)
     found = blank | {"title": title(root), "text": "", "markdown": "", "references": [], "references_truncated": False, "code_blocks": 0, "tables": 0}
     try:
-        found["text"] = plain(part)
+        with deep(levels):
+            found["text"] = plain(part)
     except (RecursionError, ValueError) as error:
         found["text_error"] = type(error).__name__
     base = root.find("base")
     writer = Markdown((safe_link(url, base.attrs["href"]) if base and base.attrs.get("href") else None) or url)
     try:
-        found["markdown"] = "\n\n".join(writer.blocks(part))
+        with deep(levels):
+            found["markdown"] = "\n\n".join(writer.blocks(part))
     except (RecursionError, ValueError) as error:
         found["markdown_error"] = type(error).__name__
     found["references"] = [{"text": text, "url": link} for link, text in writer.seen.items()]

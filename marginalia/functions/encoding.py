@@ -13,7 +13,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from marginalia.functions.types import FLAG, TEXT, struct
+from marginalia.functions.types import BINARY, FLAG, TEXT, struct
 
 META_BYTES = 1024
 
@@ -129,8 +129,25 @@ def inflate(body: bytes, encoding: str, limit: int) -> bytes:
             raise ValueError("data after the end")
 
 
+#: Bytes of a page that are read at most.
+MAX_PAGE = 32 << 20
+
+
 @F.pandas_udf(struct(text=TEXT, encoding=TEXT, source=TEXT, had_errors=FLAG))
 def decode_udf(body: pd.Series, content_type: pd.Series) -> pd.DataFrame:
     """decode() of each body."""
     rows = [decode(bytes(b), t) if b is not None else (None, None, None, None) for b, t in zip(body, content_type)]
     return pd.DataFrame(rows, columns=["text", "encoding", "source", "had_errors"])
+
+
+@F.pandas_udf(struct(body=BINARY, error=TEXT))
+def inflate_udf(body: pd.Series, content_encoding: pd.Series) -> pd.DataFrame:
+    """inflate() of each body, or the reason why it cannot be read; at most MAX_PAGE bytes."""
+
+    def one(raw: bytes | None, how: str | None) -> tuple[bytes | None, str | None]:
+        try:
+            return (None if raw is None else inflate(bytes(raw), how or "", MAX_PAGE)), None
+        except ValueError as error:
+            return None, str(error)
+
+    return pd.DataFrame([one(b, e) for b, e in zip(body, content_encoding)], columns=["body", "error"])

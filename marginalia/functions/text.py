@@ -1,14 +1,17 @@
 """Text expressions: Unicode case folding, line splitting, match positions and preview windows, paging and versions.
 
-All are Column expressions but the two that case folding needs, which are Arrow-batched.
+All are Column expressions but the place of a match after folding, which is Arrow-batched and meets matches alone.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType
 
 #: Line ends of str.splitlines().
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -17,11 +20,42 @@ WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\
 WINDOW, LEAD, LONG_NEEDLE = 200, 60, 140
 
 
-@F.pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """Full Unicode case folding, str.casefold(); Spark's lower() and its collations differ from it. Fold into a column once
-    and match on that with built-in functions."""
-    return text.str.casefold()
+@functools.lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], str, str, str, str, str]:
+    """What case folding does beyond lower-casing, by the rule of str.casefold() for every character that lower() leaves.
+
+    Below U+0300 the few replacements and a class of them; above, characters and replacements one to one, those that become
+    several characters as text for str_to_map, and a range that holds them all."""
+    left = {c: c.casefold() for c in map(chr, range(0x80, 0x1FFFF)) if c == c.lower() and c != c.casefold()}
+    near, far = ({c: x for c, x in left.items() if (c < "\u0300") == low} for low in (True, False))
+    single = {c: x for c, x in far.items() if len(x) == 1}
+    several = "\1".join(f"{c}\2{x}" for c, x in far.items() if len(x) > 1)
+    return near, f"[{''.join(near)}]", "".join(single), "".join(single.values()), several, f"[{min(far)}-{max(far)}]"
+
+
+def fold(text: Column | str) -> Column:
+    """Full Unicode case folding, str.casefold(), by built-in functions alone; only texts that hold a character for which
+    lower-casing may not be enough take the longer ways. Fold into a column once and match on that."""
+    near, near_class, one, other, several, far_class = _folds()
+    pairs = F.map_entries(F.str_to_map(F.lit(several), F.lit("\1"), F.lit("\2")))
+
+    def nearer(low: Column) -> Column:
+        out = low
+        for c, x in near.items():
+            out = F.replace(out, F.lit(c), F.lit(x))
+        return F.when(low.rlike(near_class), out).otherwise(low)
+
+    def whole(low: Column) -> Column:
+        long = F.aggregate(pairs, F.translate(low, one, other), lambda so_far, p: F.replace(so_far, p["key"], p["value"]))
+        return F.when(low.rlike(far_class), long).otherwise(low)
+
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(let(let(F.lower(text), nearer), whole))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lines(text: Column) -> Column:
@@ -96,6 +130,18 @@ def has_cjk(text: Column) -> Column:
     return text.rlike("[一-鿿]")
 
 
-def short(text: Column, limit: int = 256) -> Column:
+def short(text: Column, limit: int | None = 256) -> Column:
     """White space collapsed, cut to limit characters."""
-    return F.left(F.trim(F.regexp_replace(text, WHITE, " ")), F.lit(limit))
+    whole = F.trim(F.regexp_replace(text, WHITE, " "))
+    return whole if limit is None else F.left(whole, F.lit(limit))
+
+
+def capped_metadata(title: Column, collection: Column, saved_at: Column, source_url: Column, tags: Column) -> Column:
+    """Header values as they are shown: at most 32 tags of 64 characters, 2048 of a source address, 256 of others; with a flag
+    for anything cut. Filters and ranks use the whole values."""
+    shown = [F.left(x, F.lit(n)).alias(name) for name, x, n in (("title", title, 256), ("collection", collection, 256), ("saved_at", saved_at, 256), ("source_url", source_url, 2048))]
+    some = F.transform(F.slice(tags, 1, 32), lambda t: F.left(t, F.lit(64)))
+    cut = F.lit(False)
+    for whole, part in ((title, shown[0]), (collection, shown[1]), (saved_at, shown[2]), (source_url, shown[3]), (tags, some)):
+        cut = cut | ~whole.eqNullSafe(part)
+    return F.struct(*shown, some.alias("tags"), cut.alias("truncated"))

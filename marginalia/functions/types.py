@@ -1,8 +1,8 @@
 """Struct types of Arrow functions, which are made where no session is."""
 
-from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, IntegerType, StringType, StructType
 
-TEXT, NUMBER, FLAG = StringType(), IntegerType(), BooleanType()
+TEXT, NUMBER, FLAG, BINARY = StringType(), IntegerType(), BooleanType(), BinaryType()
 TEXTS = ArrayType(TEXT)
 
 

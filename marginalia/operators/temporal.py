@@ -1,32 +1,64 @@
-"""Replays of online rules over logs: pacing, caches, single flight, cooldown, backoff, deadlines."""
+"""Replays of online rules over logs: pacing, caches, single flight, cooldown, backoff, budgets, progress."""
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.prefix import pieces
+
 
 def pacing(log: DataFrame, key: str, arrival: str, tie: str, interval: float) -> DataFrame:
-    """start of each request when starts within a key are interval apart: start = max(arrival, last start + interval)."""
-    order = Window.partitionBy(key).orderBy(arrival, tie)
-    n = F.row_number().over(order) * interval
-    rows = log.withColumn("_n", n)
-    start = F.max(F.col(arrival) - F.col("_n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_n")
-    return rows.withColumn("start", start).drop("_n")
+    """start of each request when starts within a key are interval apart: start = max(arrival, last start + interval).
 
+    In two levels, as operators.prefix: within pieces of time first, then what the pieces before a piece leave to it."""
+    inner = Window.partitionBy(key, "_piece").orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = log.withColumn("_piece", pieces(log, arrival)).withColumn("_n", F.count("*").over(inner))
+    here = here.withColumn("_lead", F.col(arrival) - F.col("_n") * interval).withColumn("_late", F.max("_lead").over(inner))
+    totals = here.groupBy(F.col(key).alias("_key"), F.col("_piece").alias("_at")).agg(F.count("*").alias("_rows"), F.max("_lead").alias("_top"))
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_off", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    before = before.withColumn("_before", F.max(F.col("_top") - F.col("_off") * interval).over(earlier)).drop("_rows", "_top")
+    rows = here.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_at")))
+    start = F.greatest("_before", F.col("_late") - F.col("_off") * interval) + (F.col("_off") + F.col("_n")) * interval
+    return rows.withColumn("start", start).drop("_piece", "_n", "_lead", "_late", "_key", "_at", "_off", "_before")
 
-def anchored(log: DataFrame, key: str, t: str, span: float) -> DataFrame:
-    """key, t, hit: a row is a hit if it comes before anchor + span; a miss sets the anchor, hits do not move it.
 
-    This is a cache with expiry from insertion, and a single flight with the load's duration as span.
-    """
-    step = lambda acc, x: F.when(
-        acc["anchor"].isNull() | (x >= acc["anchor"] + span), F.struct(x.alias("anchor"), F.concat(acc["rows"], F.array(F.struct(x.alias("t"), F.lit(False).alias("hit")))).alias("rows"))
-    ).otherwise(F.struct(acc["anchor"].alias("anchor"), F.concat(acc["rows"], F.array(F.struct(x.alias("t"), F.lit(True).alias("hit")))).alias("rows")))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<t:double,hit:boolean>>").alias("rows"))
-    grouped = log.groupBy(key).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("ts"))
-    return grouped.select(key, F.explode(F.aggregate("ts", zero, step, lambda acc: acc["rows"])).alias("x")).select(key, "x.t", "x.hit")
+def anchored(log: DataFrame, key: str, t: str, span: float) -> DataFrame:
+    """log with hit: a row is a hit if it comes before anchor + span; a miss sets the anchor, hits do not move it.
+
+    This is a cache with expiry from insertion, and a single flight with the load's duration as span. Rows stream by key and
+    time through tasks that hold one anchor; rows without a time are never hits."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, until = None, float("-inf")
+        for batch in batches:
+            hit = np.zeros(len(batch), bool)
+            codes, times = pd.factorize(batch[key], use_na_sentinel=False)[0], batch[t].to_numpy("float64", na_value=np.nan)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                name = batch[key].iloc[a]
+                if not (a == 0 and (name == last or (pd.isna(name) and last is not None and pd.isna(last)))):
+                    until = float("-inf")
+                last, at = name, a + int(np.isnan(times[a:b]).sum())  # null times come first
+                while at < b:
+                    stop = at + int(np.searchsorted(times[at:b], until))
+                    hit[at:stop] = True
+                    if stop < b:
+                        until = times[stop] + span
+                    at = stop + 1
+            yield batch.assign(hit=hit)
+
+    return log.repartition(key).sortWithinPartitions(key, t).mapInPandas(run, f"{kinds}, hit boolean")
 
 
 def cooldown(log: DataFrame, origin: str, t: str, tie: str, delay: str) -> DataFrame:
@@ -58,13 +90,87 @@ def retryable(status: Column) -> Column:
     return status.isin(429, 502, 503, 504)
 
 
+def checked_budget(seconds: float) -> float:
+    if not math.isfinite(seconds) or not 0 < seconds <= 600:
+        raise ValueError("time_budget_seconds is more than 0 and at most 600")
+    return float(seconds)
+
+
+def within_budget(items: DataFrame, batch: str, order: str, duration: str, seconds: float, concurrency: int = 5, spent: float = 0.0) -> DataFrame:
+    """items with started and finished (seconds since the batch began) and state: completed, timed_out or not_started.
+
+    Each batch has one deadline; concurrency workers take its items in order; spent is what earlier stages took of the same
+    budget, and is never regained. A batch is one caller's request, so it fits a group."""
+    limit = checked_budget(seconds)
+    if concurrency < 1:
+        raise ValueError("concurrency is positive")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        free, begun, ended, state = [spent] * concurrency, [], [], []
+        for took in rows[duration].fillna(0.0).astype(float):
+            start = heapq.heappop(free)
+            if start >= limit:
+                heapq.heappush(free, start)
+                begun.append(None)
+                ended.append(None)
+                state.append("not_started")
+                continue
+            heapq.heappush(free, start + took)
+            begun.append(start)
+            ended.append(start + took if start + took <= limit else None)
+            state.append("completed" if start + took <= limit else "timed_out")
+        return rows.assign(started=pd.Series(begun, rows.index, "float64"), finished=pd.Series(ended, rows.index, "float64"), state=state)
+
+    return items.groupBy(batch).applyInPandas(run, f"{kinds}, started double, finished double, state string")
+
+
+def budget_summary(states: DataFrame, *by: str) -> DataFrame:
+    """completed, timed_out, not_started and complete of each batch."""
+    counts = states.groupBy(*by).agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("completed", "timed_out", "not_started")))
+    return counts.withColumn("complete", (F.col("timed_out") == 0) & (F.col("not_started") == 0))
+
+
+def refreshed(log: DataFrame, key: str, t: str, refresh: str, span: float) -> DataFrame:
+    """log with hit, of a cache whose completed entry a row with refresh drops first: that row is a miss and anchors anew."""
+    order = Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    epochs = log.withColumn("_epoch", F.concat_ws(":", F.col(key).cast("string"), F.sum(F.col(refresh).cast("int")).over(order)))
+    return anchored(epochs, "_epoch", t, span).drop("_epoch")
+
+
+def retry_states(attempts: DataFrame, request: str, n: str, status: str, delay: str, retries: int = 1) -> DataFrame:
+    """attempts (numbered from 1) with what follows each: done, retry (after its delay), or given_up."""
+    again = retryable(F.col(status)) & (F.col(n) <= retries)
+    return attempts.withColumn("next", F.when(again, F.lit("retry")).when(retryable(F.col(status)), F.lit("given_up")).otherwise(F.lit("done"))).withColumn("wait", F.when(again, backoff(F.col(n), F.col(delay))))
+
+
+def increasing(updates: DataFrame, key: str, t: str, value: str, apart: float = 0.0) -> DataFrame:
+    """Updates of progress that are shown: larger than all before in their key and, of those, the last of each span of apart seconds."""
+    before = Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+    shown = updates.withColumn("_top", F.max(value).over(before)).filter(F.col("_top").isNull() | (F.col(value) > F.col("_top"))).drop("_top")
+    if not apart:
+        return shown
+    last = Window.partitionBy(key, "_slot").orderBy(F.desc(t))
+    return shown.withColumn("_slot", F.floor(F.col(t) / apart)).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_slot", "_n")
+
+
+def cache_bytes(entries: DataFrame, *fields: str) -> DataFrame:
+    """entries with size: the UTF-8 bytes of their fields; nested ones count as JSON."""
+    kinds = dict(entries.dtypes)
+    parts = [F.octet_length(F.col(f) if kinds[f] == "string" else F.to_json(f)) for f in fields]
+    return entries.withColumn("size", sum((F.coalesce(x, F.lit(0)) for x in parts), F.lit(0)).cast("bigint"))
+
+
 def lru_replay(log: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
     """log (t, ord, key, size) to t, ord, key, hit, evicted (keys dropped by this read) of a cache that loads what it lacks.
 
     Least recently read entries go until both limits hold; an entry larger than max_bytes is never stored; a limit of 0
-    stores nothing. One cache is one ordered history, so the whole log is one group: meant for the log of one process, whose
-    state (at most max_entries) is small, not for a log of a cluster.
+    stores nothing. One cache is one ordered history: a column ``cache`` names it, and each cache is a group of its own; without
+    one the whole log is one process's cache.
     """
+    shared = "cache" not in log.columns
+    log = log.withColumn("cache", F.lit(0)) if shared else log
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept: dict[object, int] = {}  # oldest read first
@@ -81,12 +187,13 @@ def lru_replay(log: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
                     total -= kept.pop(old)
                     out.append(str(old))
             gone.append(out)
-        return rows.assign(hit=hits, evicted=gone)[["t", "ord", "key", "hit", "evicted"]]
+        return rows.assign(hit=hits, evicted=gone)[["cache", "t", "ord", "key", "hit", "evicted"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
-    rows = log.select("t", "ord", "key", "size")
+    rows = log.select("cache", "t", "ord", "key", "size")
     sorted_run = lambda rows: run(rows.sort_values(["t", "ord"], kind="stable"))
-    return rows.groupBy().applyInPandas(sorted_run, f"t {kinds['t']}, ord {kinds['ord']}, key {kinds['key']}, hit boolean, evicted array<string>")
+    out = rows.groupBy("cache").applyInPandas(sorted_run, f"cache {kinds['cache']}, t {kinds['t']}, ord {kinds['ord']}, key {kinds['key']}, hit boolean, evicted array<string>")
+    return out.drop("cache") if shared else out
 
 
 def redirect_ends(starts: DataFrame, hops: DataFrame, limit: int = 5) -> DataFrame:

@@ -11,8 +11,13 @@ from marginalia.functions import text as T
 from marginalia.functions import urls as U
 from marginalia.functions.article import extract_udf
 from marginalia.functions.encoding import decode_udf
+from marginalia.operators import evaluate as V
+from marginalia.operators import research as Q
 from marginalia.operators import search as S
 from marginalia.operators import temporal as R
+from marginalia.session import scratch
+from marginalia.sources import engines as G
+from marginalia.sources import notes as N
 from marginalia.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,10 +54,6 @@ l1 AS (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[1:-2] ELSE ls END AS ls FROM
 l AS (SELECT doc_id, unnest(ls) AS value, unnest(range(1, len(ls) + 1))::INTEGER AS line FROM l1)"""
 
 
-def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.line_rows(read(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a scale folder that hold any of some words, best first."""
     return doc_files_ranked_topk(spark, sf_dir)
@@ -66,12 +67,12 @@ SELECT doc_id, line, col::INTEGER AS "column", text_start::INTEGER AS text_start
   (text_start + length(substr(value, text_start + 1, 200)))::INTEGER AS text_end,
   text_start > 0 OR text_start + length(substr(value, text_start + 1, 200)) < length(value) AS text_truncated FROM s""")
 def doc_literal_lines(spark, sf_dir):
-    return S.literal_lines(_doc_lines(spark, sf_dir), NEEDLE)
+    return S.literal_lines(read(spark, sf_dir, "documents"), "doc_id", F.col("text"), NEEDLE)
 
 
 @query(f"WITH {_LINES} SELECT doc_id, line, value FROM l WHERE contains({_fold('value')}, 'the') AND contains({_fold('value')}, 'erth') AND contains({_fold('value')}, 'of')")
 def doc_all_terms_same_line(spark, sf_dir):
-    return S.term_lines(_doc_lines(spark, sf_dir), ALL, "all").drop("terms")
+    return S.term_lines(read(spark, sf_dir, "documents"), "doc_id", F.col("text"), ALL, "all").drop("terms")
 
 
 _ANY = ", ".join(f"'{t.casefold()}'" for t in ANY)
@@ -79,13 +80,13 @@ _ANY = ", ".join(f"'{t.casefold()}'" for t in ANY)
 
 @query(f"WITH {_LINES} SELECT doc_id, line, array_to_string(list_filter([{_ANY}], lambda t: contains({_fold('value')}, t)), ',') AS terms FROM l WHERE len(list_filter([{_ANY}], lambda t: contains({_fold('value')}, t))) > 0")
 def doc_any_terms_same_line(spark, sf_dir):
-    return S.term_lines(_doc_lines(spark, sf_dir), ANY, "any").select("doc_id", "line", F.array_join("terms", ",").alias("terms"))
+    return S.term_lines(read(spark, sf_dir, "documents"), "doc_id", F.col("text"), ANY, "any").select("doc_id", "line", F.array_join("terms", ",").alias("terms"))
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked_docs(spark: SparkSession, sf_dir: str, terms: list[str], mode: str, k: int | None, evidence: bool = False) -> DataFrame:
     """Documents as files: first line as title, language as the only tag, source and number as file name."""
     docs = read(spark, sf_dir, "documents")
-    return S.fields(docs, "doc_id", F.substring_index("text", "\n", 1), F.array("lang"), F.concat_ws("-", "source", "doc_id"), F.col("text"))
+    return S.ranked_files(docs, "doc_id", F.substring_index("text", "\n", 1), F.array("lang"), F.concat_ws("-", "source", "doc_id"), F.col("text"), terms, mode, k, evidence)
 
 
 _FIELDS = f"""{_LINES},
@@ -106,12 +107,12 @@ SELECT doc_id, n_terms, priority, matched_lines, first_line FROM r JOIN s USING
 
 @query(_ranked(ALL, "all", None))
 def doc_all_terms_file(spark, sf_dir):
-    return S.ranked_files(_files(spark, sf_dir), "doc_id", ALL, "all", None)
+    return _ranked_docs(spark, sf_dir, ALL, "all", None)
 
 
 @query(_ranked(["src1", "erth", "stupid"], "any", 20))
 def doc_files_ranked_topk(spark, sf_dir):
-    return S.ranked_files(_files(spark, sf_dir), "doc_id", ["src1", "erth", "stupid"], "any", 20)
+    return _ranked_docs(spark, sf_dir, ["src1", "erth", "stupid"], "any", 20)
 
 
 @query(f"""SELECT doc_id, n::INTEGER AS page, substr(text, (n * {PAGE} + 1)::BIGINT, {PAGE}) AS body, length(text)::INTEGER AS total_chars, (n * {PAGE})::INTEGER AS start_index,
@@ -123,10 +124,12 @@ def doc_page_slices(spark, sf_dir):
     return rows.withColumn("x", T.page_slice(F.col("text"), F.col("page") * PAGE, PAGE)).select("doc_id", "page", "x.body", "x.total_chars", "x.start_index", "x.end_index", "x.next_index")
 
 
-@query("SELECT doc_id, sha256(text) AS content_id, sha256('markdown' || chr(0) || text) AS markdown_id, substr(sha256(text), 1, 1) = '0' AS matches FROM documents")
+@query("SELECT doc_id, sha256(text) AS content_id, sha256('markdown' || chr(0) || text) AS markdown_id, doc_id % 3 <> 0 AS matches FROM documents")
 def doc_version_id(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", T.version_id(F.col("text")).alias("content_id"), T.version_id(F.col("text"), markdown=True).alias("markdown_id"))
-    return rows.withColumn("matches", F.startswith("content_id", F.lit("0")))
+    """A third of the readers saw another version before."""
+    seen = T.version_id(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    now = T.version_id(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", now.alias("content_id"), T.version_id(F.col("text"), markdown=True).alias("markdown_id"), (now == seen).alias("matches"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(trim(text, ' ' || chr(10) || chr(9))) < 200 THEN 'short_content' END, CASE WHEN contains(text, chr(65533)) THEN 'replacement_characters' END,
@@ -216,18 +219,37 @@ def search_fallback_attempts(spark, sf_dir):
     return each.withColumn("f", first).filter(F.col("engine") <= F.col("f")).select("engine", "accepted", "filtered", status.alias("status"))
 
 
-@query("""WITH q AS (SELECT item_id, item_id % 2 AS strategy, string_split(text, ' ')[1:3] AS w FROM benchmark),
-h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank, d.text, q.w FROM q JOIN documents d ON contains(d.text, array_to_string(q.w, ' '))),
-r AS (SELECT q.item_id, strategy, min(rank) FILTER (quality = 1) AS rank FROM q LEFT JOIN (SELECT h.*, quality FROM h LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)) x ON q.item_id = x.item_id GROUP BY ALL)
-SELECT strategy, count(*) AS runs, count(rank) AS found, round_even(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr FROM r GROUP BY strategy""")
+_EVAL = f"""r AS (SELECT (page_id // 40)::BIGINT AS run, ((page_id // 40) % 7)::BIGINT AS case_id, row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id)::INTEGER AS rank, url, {_HOST} AS host,
+  regexp_extract(url, '^([A-Za-z]+)://', 1) || ' ' || {_HOST} || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM pages),
+w AS (SELECT DISTINCT ((page_id // 40) % 7)::BIGINT AS case_id, k FROM (SELECT page_id, r.k FROM pages JOIN (SELECT DISTINCT url, k FROM r) r USING (url)) WHERE page_id % 11 = 3),
+j AS (SELECT r.*, coalesce(host = 'example.org' OR host LIKE '%.example.org' OR host = 'example.com' OR host LIKE '%.example.com', false) AS domain_allowed, w.k IS NOT NULL AND (host LIKE '%example.org' OR host LIKE '%example.com') AS reference_match
+  FROM r LEFT JOIN w ON r.case_id = w.case_id AND r.k = w.k),
+s AS (SELECT run, any_value(case_id) AS case_id, count(*) AS checked_links, count(*) FILTER (NOT domain_allowed) AS domain_violations, min(rank) FILTER (reference_match) AS first_reference_rank FROM j GROUP BY run)"""
+
+
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as result lists of 40, judged against some pages as references of seven cases."""
+    pages = read(spark, sf_dir, "pages").withColumn("run", F.floor(F.col("page_id") / 40)).withColumn("case_id", F.col("run") % 7)
+    results = pages.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("page_id")))
+    allowed = U.in_domains(F.col("host"), ["example.org", "example.com"])
+    return V.judged(results, pages.filter("page_id % 11 = 3").select("case_id", "url"), allowed)
+
+
+@query(f"WITH {_EVAL} SELECT run, rank, url, domain_allowed, reference_match FROM j")
+def eval_reference_match(spark, sf_dir):
+    return _evaluation(spark, sf_dir).select("run", "rank", "url", "domain_allowed", "reference_match")
+
+
+@query(f"""WITH {_EVAL}, t AS (SELECT *, run % 3 <> 1 AS complete, (run % 13) / 10.0::DOUBLE AS elapsed, CASE WHEN run % 2 = 0 THEN 'fallback' ELSE 'merge' END AS strategy, CASE WHEN case_id % 2 = 0 THEN 'en' ELSE 'zh' END AS language FROM s)
+SELECT strategy, language, count(*) AS runs, count(*) FILTER (checked_links > 0) AS with_results, count(first_reference_rank) AS reference_found, round_even(avg(coalesce(1.0::DOUBLE / first_reference_rank, 0)), 4) AS mean_reciprocal_rank,
+  count(*) FILTER (complete) AS complete_searches, count(*) FILTER (NOT complete AND first_reference_rank IS NULL) AS incomplete_without_reference, sum(domain_violations)::BIGINT AS domain_violations, round_even(median(elapsed), 3) AS median_elapsed_seconds
+FROM t GROUP BY strategy, language""")
 def eval_mrr_summary(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 2).alias("strategy"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("needle"))
-    # the evaluation set is what a person wrote: its size does not follow the corpus, and Spark checks it before a broadcast
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    hits = docs.join(items, F.contains("text", F.col("needle"))).select("item_id", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
-    ranks = hits.join(good, "doc_id").filter("quality = 1").groupBy("item_id").agg(F.min("rank").alias("rank"))
-    return S.mean_reciprocal_rank(items.join(ranks, "item_id", "left"), ["strategy"])
+    checked = _evaluation(spark, sf_dir)
+    run, case = F.col("run"), F.col("case_id")
+    runs = checked.select("run", "case_id").distinct().withColumn("complete", run % 3 != 1).withColumn("elapsed", (run % 13) / 10)
+    runs = runs.withColumn("strategy", F.when(run % 2 == 0, F.lit("fallback")).otherwise(F.lit("merge"))).withColumn("language", F.when(case % 2 == 0, F.lit("en")).otherwise(F.lit("zh")))
+    return V.summary(V.run_scores(runs, checked), "strategy", "language")
 
 
 @query("SELECT lang, quality, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
@@ -242,9 +264,11 @@ def conv_turn_search(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count("*").alias("matched_turns"), F.min("turn").alias("first_turn"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '[一-鿿]') AS chinese, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS route FROM documents")
+@query("SELECT doc_id, doc_id % 3 = 0 AS chinese, CASE WHEN doc_id % 3 = 0 THEN 'zh' ELSE 'en' END AS route FROM documents")
 def chinese_router(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.has_cjk(F.col("text")).alias("chinese"), F.when(T.has_cjk(F.col("text")), F.lit("zh")).otherwise(F.lit("en")).alias("route"))
+    """A third of the texts gets a Chinese word, another third a word in kana, which does not count."""
+    said = F.concat("text", F.element_at(F.array(F.lit("异步"), F.lit("かな"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")))
+    return read(spark, sf_dir, "documents").select("doc_id", T.has_cjk(said).alias("chinese"), F.when(T.has_cjk(said), F.lit("zh")).otherwise(F.lit("en")).alias("route"))
 
 
 @query(f"SELECT lang, count(*) AS files, count(*) FILTER (lower(source) IN ('src1', 'src2')) AS kept, count(*) FILTER (length(text) > 5000) AS oversize FROM documents GROUP BY lang")
@@ -299,32 +323,96 @@ def event_cooldown(spark, sf_dir):
     return R.cooldown(rows, "user_id", "t", "event_id", "delay").select("event_id", F.round("wait", 3).alias("wait"))
 
 
-@query(f"""SELECT state, count(*) AS n FROM (SELECT CASE WHEN t + abs(value) <= m THEN 'completed' WHEN t < m THEN 'timed_out' ELSE 'not_started' END AS state
-FROM (SELECT *, {_T} AS t, 1704067200.0::DOUBLE + 864000 AS m FROM events)) GROUP BY state""")
+_BATCHES = f"""RECURSIVE b AS (SELECT event_id, user_id, event_type, {_T} AS t, coalesce(abs(value), 0)::DOUBLE AS took, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, 0::BIGINT AS n, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS free, NULL::DOUBLE AS started, NULL::DOUBLE AS finished FROM b WHERE n = 1
+  UNION ALL SELECT w.user_id, b.n, CASE WHEN list_min(free) >= 60 THEN free ELSE list_sort(list_append(list_sort(free)[2:3], list_min(free) + took)) END,
+    CASE WHEN list_min(free) < 60 THEN list_min(free) END, CASE WHEN list_min(free) < 60 THEN list_min(free) + took END FROM w JOIN b ON b.user_id = w.user_id AND b.n = w.n + 1)"""
+
+
+@query(f"""WITH {_BATCHES} SELECT event_id, CASE WHEN w.started IS NULL THEN 'not_started' WHEN w.finished <= 60 THEN 'completed' ELSE 'timed_out' END AS state FROM w JOIN b USING (user_id, n)""")
+def event_batch_budget(spark, sf_dir):
+    """Each user's events as one batch: three workers, one deadline of a minute."""
+    rows = _events(spark, sf_dir).select("event_id", "user_id", F.struct("ts", "event_id").alias("order"), F.coalesce(F.abs("value"), F.lit(0.0)).cast("double").alias("took"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("order"))).drop("order")
+    return R.within_budget(numbered, "user_id", "n", "took", 60.0, 3).select("event_id", "state")
+
+
+@query(f"""WITH {_BATCHES}, s AS (SELECT user_id, CASE WHEN w.started IS NULL THEN 'not_started' WHEN w.finished <= 60 THEN 'completed' ELSE 'timed_out' END AS state FROM w WHERE n > 0)
+SELECT user_id, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'timed_out') AS timed_out, count(*) FILTER (state = 'not_started') AS not_started, bool_and(state = 'completed') AS complete FROM s GROUP BY user_id""")
 def event_deadline(spark, sf_dir):
-    state = R.deadline_state(F.col("t"), F.col("t") + F.abs("value"), F.lit(1704067200.0 + 864000))
-    return _events(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    rows = _events(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("order"), F.coalesce(F.abs("value"), F.lit(0.0)).cast("double").alias("took"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("order"))).drop("order")
+    return R.budget_summary(R.within_budget(numbered, "user_id", "n", "took", 60.0, 3), "user_id")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {_T} AS t, coalesce(value, 0) AS value FROM events), p AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+SELECT event_id, user_id, value FROM p WHERE top IS NULL OR value > top""")
+def event_progress(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", "user_id", F.struct("t", "event_id").alias("at"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return R.increasing(rows, "user_id", "at", "value").select("event_id", "user_id", "value")
+
+
+@query(f"""SELECT event_id, CASE WHEN status IN (429, 502, 503, 504) AND n <= 1 THEN 'retry' WHEN status IN (429, 502, 503, 504) THEN 'given_up' ELSE 'done' END AS next, CASE WHEN status IN (429, 502, 503, 504) AND n <= 1 THEN greatest(pow(2.0::DOUBLE, n - 1), (event_id % 5)::DOUBLE) END AS wait
+FROM (SELECT event_id, [200, 429, 503, 404][1 + event_id % 4] AS status, 1 + event_id // 4 % 2 AS n FROM events)""")
+def event_retry_loop(spark, sf_dir):
+    """Events as attempts: their numbers give the status, the attempt and the Retry-After."""
+    status = F.element_at(F.array(F.lit(200), F.lit(429), F.lit(503), F.lit(404)), (1 + F.col("event_id") % 4).cast("int"))
+    rows = read(spark, sf_dir, "events").select("event_id", status.alias("status"), (1 + F.floor(F.col("event_id") / 4) % 2).alias("n"), (F.col("event_id") % 5).cast("double").alias("after"))
+    return R.retry_states(rows, "event_id", "n", "status", "after").select("event_id", "next", "wait")
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").withColumn("a", extract_udf("html", "url"))
 
 
-@query()
+def _made_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: number as title, each line a paragraph of an article, links, a code block and a table."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.array_join(F.split(safe, "\n"), "</p><p>"), F.lit("</p>"))
+    tail = F.concat(F.lit("<p><a href='/d/"), "doc_id", F.lit("'>next <b>one</b></a> <a href='https://example.com/x y#top'>far</a> <a href='javascript:0'>no</a></p><pre><code class='language-sql'>SELECT 1</code></pre><table><tr><th>id<th>lang<tr><td>"), "doc_id", F.lit("<td>"), "lang", F.lit("</table>"))
+    html = F.concat(F.lit("<html><head><title> Number  "), "doc_id", F.lit("</title></head><body><nav><a href='/menu'>menu</a></nav><article>"), body, tail, F.lit("</article><footer>foot</footer></body></html>"))
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", html.alias("html"), F.lit("https://example.org/a/").alias("url"))
+
+
+_SQUEEZED = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\x0b\\x0c]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+@query(f"""SELECT doc_id, 'Number ' || doc_id AS title, {_SQUEEZED} || CASE WHEN {_SQUEEZED} = '' THEN '' ELSE chr(10) END || 'next one far no' || chr(10) || 'SELECT 1' || chr(10) || 'id | lang' || chr(10) || doc_id || ' | ' || lang AS text,
+  1 AS code_blocks, 1 AS tables FROM documents""")
 def page_extract_text(spark, sf_dir):
-    return _articles(spark, sf_dir).select("page_id", "a.title", "a.text", "a.markdown", "a.code_blocks", "a.tables", T.version_id(F.col("a.text")).alias("content_id"), F.array_join(T.warnings_of(F.col("a.text"), F.col("a.title")), ",").alias("warnings"))
+    rows = _made_articles(spark, sf_dir).withColumn("a", extract_udf("html", "url"))
+    return rows.select("doc_id", "a.title", "a.text", "a.code_blocks", "a.tables")
 
 
-@query()
+@query("""SELECT doc_id, 0 AS place, 'next one' AS text, 'https://example.org/d/' || doc_id AS url FROM documents UNION ALL SELECT doc_id, 1, 'far', 'https://example.com/x%20y#top' FROM documents""")
 def page_references(spark, sf_dir):
-    rows = _articles(spark, sf_dir).select("page_id", F.posexplode("a.references").alias("place", "r"))
-    return rows.select("page_id", "place", "r.text", "r.url")
+    rows = _made_articles(spark, sf_dir).withColumn("a", extract_udf("html", "url")).select("doc_id", F.posexplode("a.references").alias("place", "r"))
+    return rows.select("doc_id", "place", "r.text", "r.url")
+
+
+@query("""SELECT doc_id, array_to_string(['Number ' || doc_id, '[next **one**](https://example.org/d/' || doc_id || ') [far](https://example.com/x%20y#top) no', chr(96) || chr(96) || chr(96) || 'sql', 'SELECT 1', chr(96) || chr(96) || chr(96), '| id | lang |', '| --- | --- |', '| ' || doc_id || ' | ' || lang || ' |'], chr(10)) AS tail FROM documents""")
+def page_markdown(spark, sf_dir):
+    """Title and the last lines of the Markdown: links, a code block and a table."""
+    rows = _made_articles(spark, sf_dir).withColumn("a", extract_udf("html", "url"))
+    last = F.filter(F.split("a.markdown", "\n"), lambda x: x != "")
+    return rows.select("doc_id", F.array_join(F.concat(F.array("a.title"), F.slice(last, -7, 7)), "\n").alias("tail"))
+
 
+@query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return _articles(spark, sf_dir).select("page_id", "a.title")
 
-@query("SELECT page_id, length(html)::INTEGER AS n_chars, CASE WHEN regexp_matches(lower(left(html, 1000)), '<meta[^>]*charset') THEN 'meta' ELSE 'default' END AS declared, false AS had_errors FROM pages")
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'meta' WHEN 2 THEN 'bom' ELSE 'default' END AS declared, doc_id % 8 = 3 AS had_errors, CASE doc_id % 4 WHEN 1 THEN regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') ELSE text END AS text FROM documents""")
 def page_decode(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").withColumn("d", decode_udf(F.encode("html", "UTF-8"), F.lit("")))
-    return rows.select("page_id", F.length("d.text").alias("n_chars"), F.col("d.source").alias("declared"), "d.had_errors")
+    """Documents as bytes in UTF-16 by header, ASCII by a meta tag, UTF-8 with a mark, and UTF-8 with a damaged end."""
+    kind, tag = F.col("doc_id") % 4, F.lit("<meta charset=windows-1252>")
+    plain = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
+    body = F.when(kind == 0, F.encode("text", "UTF-16LE")).when(kind == 1, F.encode(F.concat(tag, plain), "US-ASCII")).when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+    body = F.coalesce(body, F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 8 == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))))
+    rows = read(spark, sf_dir, "documents").withColumn("d", decode_udf(body, F.when(kind == 0, F.lit("text/html; charset=utf-16le")).otherwise(F.lit("text/html"))))
+    shown = F.replace(F.regexp_replace(F.col("d.text"), "^\ufeff?(<meta charset=windows-1252>)?", ""), F.when(F.col("doc_id") % 8 == 3, F.lit("\ufffd")).otherwise(F.lit("\0\0")), F.lit(""))
+    return rows.select("doc_id", F.col("d.source").alias("declared"), "d.had_errors", shown.alias("text"))
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
@@ -334,3 +422,121 @@ SELECT user_id, min(us)::BIGINT AS start_us, (max(us) + 86400000000)::BIGINT AS
 def event_session_stream(spark, sf_dir):
     rows = E.settle(E.sessions(E.read_events(spark, sf_dir), "user_id", "1 day", "1 hour"))
     return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
+@query(f"""WITH {_LINES}, n(needle) AS (VALUES ('the'), ('erth')),
+h AS (SELECT doc_id, line, needle, value, instr(value, needle) AS col FROM l, n WHERE contains(value, needle)),
+s AS (SELECT *, greatest(0, col - 61) AS text_start FROM h)
+SELECT doc_id, line, needle, substr(value, text_start + 1, 200) AS text, text_start::INTEGER AS text_start FROM s""")
+def doc_preview_window(spark, sf_dir):
+    lines = S.line_rows(read(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    needles = F.array(F.lit("the"), F.lit("erth"))
+    rows = lines.withColumn("needle", F.explode(F.filter(needles, lambda n: F.contains("value", n)))).withColumn("text_start", T.window_start(F.instr(F.col("value"), F.col("needle")), "short"))
+    return rows.select("doc_id", "line", "needle", T.preview(F.col("value"), F.col("text_start")).alias("text"), "text_start")
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes: source as collection, first line as title; some headers are damaged."""
+    docs = read(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1)).withColumn("tags", F.array("lang", F.lit("a\"b")))
+    link = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://example.org/"), "doc_id")).otherwise(F.lit(""))
+    note = N.rendered(F.col("source"), F.col("title"), F.col("text"), F.lit("2024-01-01T00:00:00"), link, F.col("tags"))
+    broken = F.when(F.col("doc_id") % 10 == 3, F.replace(note, F.lit("\nsaved_at: "), F.lit("\nsaved_at: x"))).when(F.col("doc_id") % 10 == 7, F.replace(note, F.lit("\ntags: "), F.lit("\ntitle: ")))
+    return docs.withColumn("note", F.coalesce(broken, note)).withColumn("link", F.nullif(link, F.lit("")))
+
+
+@query("""SELECT doc_id, doc_id % 10 IN (3, 7) AS invalid, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN string_split(text, chr(10))[1] END AS title, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN source END AS collection,
+  CASE WHEN doc_id % 10 NOT IN (3, 7) AND doc_id % 2 = 0 THEN 'https://example.org/' || doc_id END AS source_url, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN lang || ',a"b' END AS tags FROM documents""")
+def note_roundtrip(spark, sf_dir):
+    rows = _notes(spark, sf_dir).select("doc_id", N.header(F.col("note")).alias("m"))
+    return rows.select("doc_id", "m.invalid", "m.title", "m.collection", "m.source_url", F.array_join("m.tags", ",").alias("tags"))
+
+
+@query("""WITH n AS (SELECT doc_id, lang, source, doc_id % 10 NOT IN (3, 7) AS good FROM documents) SELECT doc_id FROM n WHERE good AND lower(source) = 'src2' AND lang IN ('en', 'de') AND doc_id % 2 = 0""")
+def note_metadata_filter(spark, sf_dir):
+    path = scratch(spark, "headers")
+    _notes(spark, sf_dir).select("doc_id", N.header(F.col("note")).alias("meta")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    either = Q._filter("SRC2", "EN", "example.org") | Q._filter(" src2", 'a"B, de', "example.org")
+    return rows.filter(either).select("doc_id")
+
+
+@query("""SELECT doc_id, left(string_split(text, chr(10))[1], 256) AS title, length(string_split(text, chr(10))[1]) > 256 OR len(string_split(text, ' ')) > 32 OR list_max(list_transform(string_split(text, ' '), lambda x: length(x))) > 64 AS truncated, least(32, len(string_split(text, ' '))) AS n_tags FROM documents""")
+def note_shown_metadata(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    shown = T.capped_metadata(F.substring_index("text", "\n", 1), F.col("source"), F.lit("2024"), F.lit(None).cast("string"), F.split("text", " "))
+    return docs.select("doc_id", shown.alias("m")).select("doc_id", "m.title", "m.truncated", F.size("m.tags").cast("bigint").alias("n_tags"))
+
+
+@query("""SELECT state, count(*) AS files FROM (SELECT CASE WHEN doc_id % 8 = 1 THEN 'extensions' WHEN octet_length(encode(text)) + 1 > 6000 THEN 'oversized' WHEN doc_id % 8 = 2 THEN 'binary' WHEN doc_id % 8 = 5 THEN 'encoding' ELSE 'read' END AS state FROM documents)
+GROUP BY state UNION ALL SELECT 'directory', count(DISTINCT doc_id % 64) FROM documents""")
+def note_skip_accounting(spark, sf_dir):
+    """All documents written as files of a shared folder, some binary or badly encoded, then scanned with a limit of size."""
+    root = scratch(spark, "files")
+    mark = F.when(F.col("doc_id") % 8 == 2, F.unhex(F.lit("00"))).when(F.col("doc_id") % 8 == 5, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("0A")))
+    name = F.concat(F.lit("part"), F.col("doc_id") % 64, F.lit("/"), "doc_id", F.when(F.col("doc_id") % 8 == 1, F.lit(".bin")).otherwise(F.lit(".MD")))
+    files = read(spark, sf_dir, "documents").select(name.alias("place"), F.concat(F.encode("text", "UTF-8"), mark).alias("content"))
+    folder = root.removeprefix("file://")
+    if N.write_files(files, folder).filter("not written").count():
+        raise ValueError("two documents share an id")
+    spark.dataSource.register(N.NoteFiles)
+    listing = spark.read.format("notes").option("max_file_bytes", 6000).option("max_entries", 1_000_000).load(folder)
+    return listing.groupBy("state").agg(F.count("*").alias("files"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captured answers: 40 a query, in the JSON of a metasearch engine or the layout of a result page."""
+    pages = read(spark, sf_dir, "pages").withColumn("group", F.floor(F.col("page_id") / 40).cast("int")).withColumn("engine", F.when(F.col("group") % 3 == 0, F.lit("searxng")).when(F.col("group") % 3 == 1, F.lit("ddg")).otherwise(F.lit("bing")))
+    name = F.concat(F.lit("Page  "), "page_id")
+    item = F.to_json(F.struct("url", F.when(F.col("page_id") % 9 > 0, name).alias("title"), F.lit("s").alias("content"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("engines")))
+    wrapped = F.concat(F.lit("//duckduckgo.com/l/?rut=1&uddg="), F.url_encode("url"))
+    ddg = F.concat(F.lit('<div class="result links"><h2><a class="result__a" href="'), wrapped, F.lit('">'), name, F.lit('</a></h2><a class="result__snippet">s</a></div>'))
+    hidden = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.rtrim(F.translate(F.base64(F.encode("url", "UTF-8")), "+/", "-_"), F.lit("=")))
+    bing = F.concat(F.lit('<li class="b_algo"><h2><a href="'), hidden, F.lit('">'), name, F.lit("</a></h2><p>s</p></li>"))
+    row = F.when(F.col("engine") == "searxng", item).when(F.col("engine") == "ddg", ddg).otherwise(bing)
+    rows = pages.select("group", "engine", F.struct("page_id", row.alias("row")).alias("x")).groupBy("group", "engine").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # 40 pages each
+    rows_of = F.transform("xs", lambda x: x["row"])
+    body = F.when(F.col("engine") == "searxng", F.array_join(rows_of, ",")).otherwise(F.array_join(rows_of, ""))
+    whole = F.when(F.col("engine") == "searxng", F.concat(F.lit('{"results":['), body, F.lit('],"unresponsive_engines":[["c","late"]]}'))).when(F.col("group") % 9 == 4, F.lit('<div class="no-results">')).when(F.col("group") % 9 == 7, F.concat(F.lit('<form id="challenge-form">'), body)).otherwise(F.concat(F.lit('<p class="captcha">'), body))
+    status = F.when(F.col("group") % 10 == 9, 429).otherwise(200)
+    return rows.select("group", "engine", status.alias("status"), whole.alias("body"))
+
+
+_RANKED = f"""g AS (SELECT page_id, url, {_HOST} AS host, (page_id // 40)::INTEGER AS grp, row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id)::INTEGER AS place FROM pages),
+a AS (SELECT *, CASE grp % 3 WHEN 0 THEN 'searxng' WHEN 1 THEN 'ddg' ELSE 'bing' END AS engine, CASE WHEN grp % 10 = 9 THEN 'limited' WHEN grp % 3 = 0 THEN 'results' WHEN grp % 9 = 4 THEN 'no_results' WHEN grp % 9 = 7 THEN 'challenge' ELSE 'results' END AS state FROM g),
+f AS (SELECT *, row_number() OVER (PARTITION BY grp, url ORDER BY place) AS again FROM a WHERE state = 'results'),
+i AS (SELECT grp, engine, url, page_id, host, CASE WHEN engine = 'searxng' THEN place ELSE row_number() OVER (PARTITION BY grp ORDER BY place) END::INTEGER AS rank FROM f WHERE CASE WHEN engine = 'searxng' THEN page_id % 9 > 0 ELSE again = 1 END)"""
+
+
+@query(f"WITH {_RANKED} SELECT grp AS query, engine, rank, url, 'Page ' || page_id AS title, 's' AS snippet, CASE WHEN engine = 'searxng' THEN 'a,b' ELSE engine END AS engines FROM i")
+def search_answer_items(spark, sf_dir):
+    rows = G.parsed(_answers(spark, sf_dir)).filter(G.status_state(F.col("status")).isNull() & (F.col("x.state") == "results"))
+    items = rows.select(F.col("group").alias("query"), "engine", F.explode("x.items").alias("i"))
+    return items.select("query", "engine", "i.rank", "i.url", "i.title", "i.snippet", F.array_join("i.engines", ",").alias("engines"))
+
+
+@query(f"""WITH {_RANKED}, k AS (SELECT grp, count(*) FILTER (NOT host LIKE '%.example.org') AS accepted, count(*) FILTER (host LIKE '%.example.org') AS filtered FROM i GROUP BY grp), d AS (SELECT DISTINCT grp, engine, state FROM a)
+SELECT grp AS query, engine, CASE WHEN state <> 'results' AND state <> 'no_results' THEN state WHEN accepted > 0 THEN 'results' WHEN filtered > 0 THEN 'filtered_empty' ELSE 'no_results' END AS state, coalesce(accepted, 0) AS accepted, coalesce(filtered, 0) AS filtered,
+  CASE WHEN engine = 'searxng' THEN CASE WHEN n.bad > 0 THEN 'invalid_results:' || n.bad || ',' ELSE '' END || 'c: late' ELSE '' END AS warnings
+FROM d LEFT JOIN k USING (grp) JOIN (SELECT grp, count(*) FILTER (page_id % 9 = 0) AS bad FROM a GROUP BY grp) n USING (grp)""")
+def search_answer_states(spark, sf_dir):
+    _, states = Q.candidates(_answers(spark, sf_dir), [], ["example.org"])
+    return states.select(F.col("group").alias("query"), "engine", "state", "accepted", "filtered", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""SELECT event_id AS ord, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE (event_id % (SELECT count(*) FROM documents))::VARCHAR END AS url, event_id % 5 <> 0 AND d.text IS NOT NULL AS ok, CASE WHEN event_id % 5 = 0 OR d.text IS NULL THEN 'not_fetched' END AS error, 'Number ' || d.doc_id AS title
+FROM events LEFT JOIN documents d ON event_id % 5 <> 0 AND d.doc_id = event_id % (SELECT count(*) FROM documents)""")
+def tool_fetch_pages(spark, sf_dir):
+    """Events as requests for made articles, with repeats and unknown ones."""
+    n = read(spark, sf_dir, "documents").count()
+    responses = _made_articles(spark, sf_dir).select(F.col("doc_id").cast("string").alias("url"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"))
+    wanted = read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.when(F.col("event_id") % 5 == 0, F.lit("none")).otherwise((F.col("event_id") % n).cast("string")).alias("url"))
+    return Q.fetch_pages(wanted, responses, "text", 100).select("ord", "url", "ok", "error", "title")
+
+
+@query(f"WITH {_LINES}, h AS (SELECT doc_id, line, value, least(nullif(instr({_fold('value')}, 'erth'), 0), nullif(instr({_fold('value')}, 'stupid'), 0)) AS col FROM l), f AS (SELECT doc_id, min(line) AS line FROM h WHERE col IS NOT NULL GROUP BY doc_id) "
+       "SELECT doc_id, 'text' AS field, line AS first_line, substr(value, (greatest(0, col - 61) + 1)::BIGINT, 200) AS preview FROM f JOIN h USING (doc_id, line) WHERE NOT contains(value, 'ß')")
+def doc_leftmost_evidence(spark, sf_dir):
+    """Where a file's first term stands; lines in which folding moves places are left to the test on literal rows."""
+    rows = _ranked_docs(spark, sf_dir, ["erth", "stupid"], "any", None, evidence=True)
+    lines = S.line_rows(read(spark, sf_dir, "documents"), "doc_id", F.col("text")).filter(F.contains("value", F.lit("ß"))).select("doc_id", F.col("line").alias("first_line"))
+    return rows.filter("field = 'text'").join(lines, ["doc_id", "first_line"], "left_anti").select("doc_id", "field", "first_line", "preview")

@@ -30,8 +30,10 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder spark.checkpoint.dir; in a folder of our own only where none is set (tests)."""
+    """A fresh path in the shared folder spark.checkpoint.dir; in a folder of our own only in local mode (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not shared and not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="marginalia-"))
     return f"{(shared or _own[0]).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

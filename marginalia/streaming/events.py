@@ -18,14 +18,18 @@ from marginalia.session import scratch
 def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 8) -> DataFrame:
     """The events table of a scale folder as a stream, with ts as a zoned time that watermarks accept."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    # the table is a folder of part files, or one file of the scale folder
+    rows = source.parquet(f"{sf_dir}/events.parquet") if folder else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def sessions(events: DataFrame, key: str, gap: str, late: str) -> DataFrame:
     """key, start, end, events: sessions that a pause of gap ends."""
     window = F.session_window("ts", gap).alias("w")
-    return events.filter(F.col("ts").isNotNull()).withWatermark("ts", late).groupBy(key, window).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    return events.filter(F.col("ts").isNotNull() & F.col(key).isNotNull()).withWatermark("ts", late).groupBy(key, window).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
 def paced(requests: DataFrame, key: str, interval: float) -> DataFrame:
@@ -57,7 +61,10 @@ def _replayed(requests: DataFrame, key: str, rule: Callable[[float, float], tupl
 
 
 def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now; its last result (complete) or all its rows (append), from the shared scratch folder."""
+    """Run a stream over what there is now; its last result (complete) or all its rows (append), from the shared scratch folder.
+
+    complete keeps every group's state, which a finite replay needs to see its last sessions; an endless stream runs in append
+    mode, where the watermark bounds the state and a session comes out once it is closed."""
     spark = stream.sparkSession
     out, marks = scratch(spark, "stream"), scratch(spark, "stream-marks")
 
@@ -67,5 +74,8 @@ def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch came
+        return spark.createDataFrame([], stream.schema)
     done = spark.read.schema(stream.schema).parquet(out)
     return done.select(*stream.columns)

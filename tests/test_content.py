@@ -72,10 +72,34 @@ def test_engines():
     bing = '<ol id=b_results><li class=b_algo><h2><a href="https://b/ck/a?x=1&u=a1aHR0cHM6Ly94Lm9yZw">t</a></h2><p>q</li></ol>'
     assert G.parse_html(bing, "bing", 10)[1][0]["url"] == "https://x.org"
     assert [G.parse_html(h, e, 5)[0] for h, e in (("<div class=no-results>", "ddg"), ("<ol id=b_results><li class=b_no>", "bing"), ("<p>?", "ddg"), (None, "bing"), ("<form id=challenge-form>", "ddg"))] == ["no_results", "no_results", "unknown_layout", "unknown_layout", "challenge"]
-    state, items, bad, warned = G.parse_json(json.dumps({"results": [None, {"url": "http://a/", "title": " t  u ", "content": 5, "engines": ["x", "x", 3]}, {"url": "u", "title": " "}], "unresponsive_engines": [["e", "late"], ["?"]]}))
-    assert (state, bad, warned) == ("results", 2, ["invalid_results:2", "e: late", "upstream_error_invalid"])
-    assert items == [{"rank": 2, "url": "http://a/", "title": "t u", "snippet": "", "source": "searxng", "engines": ["x"]}]
-    assert G.parse_json("[1]")[0] == "unknown_layout"
+    assert G.parse_html('<p class="captcha" id="anomaly-modal">' + ddg, "ddg", 10)[0] == "results"
+    assert [G.parse_html(h, "ddg", 10)[0] for h in ("<div class=anomaly-modal>", "<p id=captcha>")] == ["challenge"] * 2
+    assert [G.backend_endpoint("searxng", "fallback", u) for u in ("http://h:80/", "https://h/s/search", "https://h/x")] == ["http://h/search", "https://h/s/search", "https://h/x/search"]
+    assert G.backend_endpoint("builtin", "merge") is None
+    for bad in (("searxng", "merge", "http://h/"), ("searxng", "fallback", ""), ("searxng", "fallback", "http://h/?q"), ("searxng", "fallback", "http://u@h/"), ("other", "fallback", "")):
+        with pytest.raises(ValueError):
+            G.backend_endpoint(*bad)
+    asked = Q.requests_of("a b", include_domains="x.org,y.org", exclude_domains="z.y.org")
+    assert asked[0][1:] == ("POST", "https://html.duckduckgo.com/html/", {"q": "(site:x.org OR site:y.org) -site:z.y.org a b"}) and asked[1][2].endswith("?q=%28site%3Ax.org+OR+site%3Ay.org%29+-site%3Az.y.org+a+b")
+
+
+def test_metasearch(spark):
+    bodies = [
+        json.dumps({"results": [None, {"url": "http://a/", "title": " t  u ", "content": 5, "engines": ["x", "x", 3]}, {"url": "u", "title": " "}, {"url": 7, "title": "n"}, {"url": "v", "title": "w", "engines": [], "engine": "e\n f"}], "unresponsive_engines": [["e", "late"], ["?"]]}),
+        "[1]", "{", None, '{"results": 5}', '{"results": [], "unresponsive_engines": 3}', json.dumps({"results": [{"url": f"u{i}", "title": "t"} for i in range(70)], "unresponsive_engines": [["a", "b"]] * 101}),
+    ]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").withColumn("x", G.metasearch(F.col("b"))).orderBy("i").collect()
+    first = rows[0]["x"]
+    assert (first["state"], first["invalid"], first["warnings"]) == ("results", 3, ["invalid_results:3", "e: late", "upstream_error_invalid"])
+    assert [tuple(i) for i in first["items"]] == [(2, "http://a/", "t u", "", "searxng", ["x"]), (5, "v", "w", "", "searxng", ["e f"])]
+    assert [r["x"]["state"] for r in rows[1:6]] == ["unknown_layout"] * 4 + ["no_results"] and rows[5]["x"]["warnings"] == ["unresponsive_engines_invalid"]
+    assert len(rows[6]["x"]["items"]) == 50 and len(rows[6]["x"]["warnings"]) == 101 and rows[6]["x"]["warnings"][-1] == "upstream_errors_truncated"
+
+
+def test_deep_pages():
+    deep = A.extract("<div>" * 5000 + "<b>x</b>" + "</div>" * 5000, "")
+    assert deep["text"] == "x" and deep["markdown"] == "**x**" and not deep["markdown_error"]
+    assert A.extract("<span>" * 3000 + "y", "")["markdown"] == "y"
 
 
 def _answer(group, engine, *urls, status=200):
@@ -106,6 +130,19 @@ def test_search_and_research(spark):
     got = Q.fetch_pages(wanted, pages, "markdown", 10).orderBy("ord").collect()
     assert [(r["ok"], r["error"], r["body"]) for r in got] == [(True, None, "x" * 10), (False, "not_fetched", None), (True, None, "x" * 10)]
     assert not Q.package(Q.read_pages(pages), expected="0").first()["ok"]
+    one = Q.fetch_page("https://b.com/x", pages, max_chars=10, start_index=25)
+    assert one["ok"] and one["body"] == "x" * 5 and one["next_index"] is None and Q.render_page(one).startswith("# t\n<https://b.com/x>")
+    assert not Q.fetch_page("https://b.com/x", pages, expected_content_id="0")["ok"] and Q.render_page(Q.fetch_page("u", pages)) == "u: not_fetched"
+    zipped = spark.createDataFrame([("u", "text/html", "gzip", bytearray(gzip.compress(b"<title>z</title><p>y"))), ("v", "text/html", "gzip", bytearray(b"no"))], "url string, content_type string, content_encoding string, body binary")
+    assert {r["url"]: r["title"] for r in Q.read_pages(zipped).collect()} == {"u": "z", "v": None}
+    timed = pages.withColumn("elapsed", F.when(F.col("url") == "https://b.com/y", 4.0).otherwise(1.0))
+    batch = Q.pages_payload(Q.fetch_pages(wanted, timed, "text", 10, time_budget_seconds=3.0, concurrency=1))
+    assert [p["error"] for p in batch["pages"]] == ["timed_out", "not_started", "not_started"] and not batch["complete"] and not batch["ok"]
+    assert Q.pages_payload(Q.fetch_pages(wanted, timed, "text", 10, time_budget_seconds=9.0, concurrency=2))["succeeded"] == 2
+    late = Q.web_search(answers.withColumn("elapsed", F.col("group") * 5.0), "q", 10, "merge", time_budget_seconds=4.0).payload()
+    assert [r["canonical"] for r in late["results"]] == late["urls"] == ["https://a.org/", "https://b.com/x", "https://b.com/y"] and late["search_status"] == "partial"
+    multi = Q.multi_payload([first, Q.web_search(answers, "p", 10, "merge")])
+    assert multi["ok"] and not multi["complete"] and [q["complete"] for q in multi["queries"]] == [True, False] and len(multi["results"]) == 4
 
 
 def test_notes(spark, tmp_path):
@@ -113,9 +150,13 @@ def test_notes(spark, tmp_path):
     path, n = N.save_finding(str(tmp_path), "My coll", 'T "q": ß', "body Straße\nline", "https://sub.x.org/a", "Red, blue", when)
     again, m = N.save_finding(str(tmp_path), "My coll", 'T "q": ß', "other", now=when)
     assert (n, m) == (1, 2) and again.endswith("-1.md") and "/My_coll/2024-01-02-03-04-05-T_q_ß" in path
-    head = N.parse_header(open(path, encoding="utf-8").read())
-    assert (head["title"], head["tags"], head["invalid"]) == ('T "q": ß', ["Red", "blue"], False)
-    assert N.parse_header("---\ntitle: x\n---")["invalid"] and N.parse_header("---\ntitle: \"a\"\n")["invalid"] and not N.parse_header("a\n---")["invalid"]
+    saved = open(path, encoding="utf-8").read()
+    texts = [saved, "---\ntitle: x\n---", '---\ntitle: "a"\n', "a\n---", None, '---\nother: x\ntags: []\n---', '---\ntags: ["a", 1]\n---', '---\ntitle: "a"\ntitle: "b"\n---', "---\n" + "x: 1\n" * 255 + "---", "---\n" + "x: 1\n" * 256 + "---", "---\ntitle\n---", "---\n---\ntitle: x"]
+    heads = [r["m"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(N.header(F.col("t")).alias("m")).collect()]
+    assert (heads[0]["title"], heads[0]["tags"], heads[0]["source_url"], heads[0]["invalid"]) == ('T "q": ß', ["Red", "blue"], "https://sub.x.org/a", False)
+    assert [h["invalid"] for h in heads[1:]] == [True, True, False, False, False, True, True, False, True, True, False] and heads[5]["tags"] == []
+    made = spark.createDataFrame([("My coll", 'T "q": ß', "body Straße\nline", when.isoformat(), "https://sub.x.org/a", ["Red", "blue"])], "c string, t string, b string, s string, u string, g array<string>")
+    assert made.select(N.rendered(*map(F.col, "ctbsug"))).first()[0] == saved
     (tmp_path / "Node_Modules").mkdir()
     (tmp_path / ".hidden.txt").write_bytes(b"\xef\xbb\xbfSTRASSE\r\nx")
     (tmp_path / "bad.txt").write_bytes(b"\xff")
@@ -130,11 +171,14 @@ def test_notes(spark, tmp_path):
     shown = Q.search_local(spark, "strasse", str(tmp_path), max_file_bytes=1000).render()
     assert "**.hidden.txt**\n  L1: STRASSE" in shown and "incomplete" in shown and '"oversized": 1' in shown
     files = Q.search_local(spark, "line T", str(tmp_path), collection="MY COLL", tags="red", source_domain="x.org", result_mode="files", query_mode="all").payload()
-    assert [h["relpath"] for h in files["matches"]] == [path.removeprefix(f"{tmp_path}/")] and files["stats"]["filtered_files"] == 3
+    assert [h["relpath"] for h in files["matches"]] == [path.removeprefix(f"{tmp_path}/")] and files["stats"]["filtered_files"] == 3 and files["stats"]["matched_files"] == 1
+    assert files["matches"][0]["metadata"]["tags"] == ["Red", "blue"] and not files["matches"][0]["metadata"]["truncated"] and files["matches"][0]["field"] == "text"
+    late = Q.search_local(spark, "x", str(tmp_path), time_budget_seconds=1e-9).payload()
+    assert late["stop_reason"] == "time_budget" and late["matches"] == [] and not late["complete"]
     assert len(Q.search_local(spark, "", str(tmp_path), collection="my coll").payload()["matches"]) == 2
     capped = Q.search_local(spark, "x", str(tmp_path), max_entries=1).payload()
     assert capped["stop_reason"] == "max_entries" and not capped["complete"]
-    for bad in ({"query": " "}, {"max_results": 0}, {"exclude_dirs": "a/b"}):
+    for bad in ({"query": " "}, {"max_results": 0}, {"max_results": True}, {"result_mode": "x"}, {"no_option": 1}, {"exclude_dirs": "a/b"}):
         with pytest.raises(Exception):
             Q.search_local(spark, **({"query": "x", "root": str(tmp_path)} | bad)).payload()
 
@@ -152,3 +196,7 @@ def test_streams(spark, tmp_path):
     assert [b - a for a, b in zip(starts, starts[1:])] == [600.0, 10200.0]
     hits = E.settle(E.anchored(log.select("user_id", "t"), "user_id", 300.5), "append").orderBy("t").collect()
     assert [r["hit"] for r in hits] == [False, True, False]
+    folder = E.settle(E.sessions(E.read_events(spark, str(tmp_path / "t")), "user_id", "1 hour", "1 day")).count() if rows.repartition(2).write.parquet(str(tmp_path / "t" / "events.parquet")) is None else 0
+    assert folder == 2
+    rows.limit(0).write.parquet(str(tmp_path / "e" / "events.parquet"))
+    assert E.settle(E.sessions(E.read_events(spark, str(tmp_path / "e")), "user_id", "1 hour", "1 day")).count() == 0
