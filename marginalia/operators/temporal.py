@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -162,6 +162,79 @@ def cache_bytes(entries: DataFrame, *fields: str) -> DataFrame:
     return entries.withColumn("size", sum((F.coalesce(x, F.lit(0)) for x in parts), F.lit(0)).cast("bigint"))
 
 
+def _replayed(log: DataFrame, group: str, order: list[str], run: Callable[[pd.DataFrame], dict[str, list]], out: str) -> DataFrame:
+    """log with the columns that run gives for each group's rows in order; each group is one ordered history."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        return rows.assign(**{k: pd.Series(v, rows.index, "float64" if k in ("wait", "finished") else None) for k, v in run(rows).items()})
+
+    return log.groupBy(group).applyInPandas(whole, f"{kinds}, {out}")
+
+
+def shared_loads(log: DataFrame, key: str, t: str, took: str, ok: str, span: float = math.inf) -> DataFrame:
+    """log with role, finished and done, of requests that share the load of their key.
+
+    A request is a hit while a completed load is younger than span, a follower while another's load is under way, else an
+    owner, whose load takes its own time and may fail. When a load fails its owner fails, and the first of its followers loads
+    again from that moment (role retry), which the others follow."""
+
+    def run(rows: pd.DataFrame) -> dict[str, list]:
+        arrivals, times, oks = rows[t].tolist(), rows[took].astype(float).tolist(), rows[ok].astype(bool).tolist()
+        role, finished, done = [""] * len(rows), [math.nan] * len(rows), [False] * len(rows)
+        flight: list[int] = []  # the owner, then its followers
+        end, fresh, i = math.inf, -math.inf, 0
+        while i < len(rows) or flight:
+            if flight and (i == len(rows) or end <= arrivals[i]):
+                owner, *others = flight
+                finished[owner], done[owner] = end, oks[owner]
+                flight = []
+                if oks[owner]:
+                    fresh = end + span
+                    for j in others:
+                        finished[j], done[j] = end, True
+                elif others:
+                    flight, role[others[0]] = others, "retry"
+                    end += times[others[0]]
+                continue
+            if arrivals[i] < fresh:
+                role[i], finished[i], done[i] = "hit", arrivals[i], True
+            else:
+                role[i] = "follower" if flight else "owner"
+                end = end if flight else arrivals[i] + times[i]
+                flight.append(i)
+            i += 1
+        return {"role": role, "finished": finished, "done": done}
+
+    return _replayed(log, key, [t], run, "role string, finished double, done boolean")
+
+
+def cooldown_replay(log: DataFrame, process: str, t: str, origin: str, delay: str, remaining: str, most: int = 256) -> DataFrame:
+    """log with wait and state (sent, or cooldown: the wait would use up the remaining time) of each request of a process.
+
+    A delay closes its origin until then, never for less than before; while ``most`` origins are closed, further ones share one
+    deadline that holds for all."""
+
+    def run(rows: pd.DataFrame) -> dict[str, list]:
+        until: dict[object, float] = {}
+        shared, waits, states = 0.0, [], []
+        for now, name, closed, left in zip(rows[t], rows[origin], rows[delay], rows[remaining]):
+            wait = max(0.0, max(until.get(name, 0.0), shared) - now)
+            waits.append(wait)
+            states.append("cooldown" if wait and wait >= left else "sent")
+            if states[-1] == "sent" and not pd.isna(closed):
+                at = now + wait
+                until = {k: x for k, x in until.items() if x > at}
+                if name in until or len(until) < most:
+                    until[name] = max(until.get(name, 0.0), at + closed)
+                else:
+                    shared = max(shared, at + closed)
+        return {"wait": waits, "state": states}
+
+    return _replayed(log, process, [t], run, "wait double, state string")
+
+
 def lru_replay(log: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
     """log (t, ord, key, size) to t, ord, key, hit, evicted (keys dropped by this read) of a cache that loads what it lacks.
 

@@ -87,6 +87,17 @@ def test_budget_of_a_batch(spark):
             R.checked_budget(bad)
 
 
+def test_shared_loads_and_cooldowns(spark):
+    rows = [("u", 0.0, 4.0, False), ("u", 1.0, 2.0, True), ("u", 2.0, 9.0, True), ("u", 5.0, 9.0, True), ("u", 7.0, 1.0, True), ("u", 30.0, 1.0, False), ("v", 1.0, 1.0, True)]
+    log = spark.createDataFrame(rows, "k string, t double, took double, ok boolean")
+    got = [(r["role"], r["finished"], r["done"]) for r in R.shared_loads(log, "k", "t", "took", "ok", 10.0).filter("k = 'u'").orderBy("t").collect()]
+    assert got == [("owner", 4.0, False), ("retry", 6.0, True), ("follower", 6.0, True), ("follower", 6.0, True), ("hit", 7.0, True), ("owner", 31.0, False)]
+    asked = [(0, 0.0, "a", 10.0, 60.0), (0, 1.0, "b", 5.0, 60.0), (0, 2.0, "c", 20.0, 60.0), (0, 3.0, "d", None, 60.0), (0, 4.0, "a", None, 6.0), (0, 30.0, "a", None, 1.0)]
+    log = spark.createDataFrame(asked, "p int, t double, o string, d double, left double")
+    got = [(r["wait"], r["state"]) for r in R.cooldown_replay(log, "p", "t", "o", "d", "left", most=2).orderBy("t").collect()]
+    assert got == [(0, "sent"), (0, "sent"), (0, "sent"), (19, "sent"), (18, "cooldown"), (0, "sent")]
+
+
 def test_refresh_retry_progress_and_bytes(spark):
     log = spark.createDataFrame([("u", float(t), f) for t, f in ((0, False), (1, False), (2, True), (3, False), (13, False))], "k string, t double, f boolean")
     assert [r["hit"] for r in R.refreshed(log, "k", "t", "f", 10.0).orderBy("t").collect()] == [False, True, False, True, False]
