@@ -207,6 +207,21 @@ def test_html():
     assert htmltext.extract("<div>" * 30_000 + "deep <b 'x")[1].startswith("deep")
 
 
+
+def test_piece_segments():
+    lattice = pieces.Pieces(pieces.model_path(), 2, remembered=8)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abtheing é\u2581\U0001f600\t9"), int(rng.integers(1, 30)))) for _ in range(300)]
+    for text in texts:
+        paths = lattice.search(text, 2)
+        ids, score, loss = lattice.segment(text)
+        assert (np.frombuffer(ids, np.int32).tolist(), score) == (paths[0][1], paths[0][0])
+        assert loss == (paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf"))
+        assert lattice.segments([text, text]) == [(ids, score, loss)] * 2
+        assert len(lattice.known) + len(lattice.older) <= 10
+    assert [lattice.segments([t])[0] for t in texts] == [lattice.segment(t) for t in texts]  # after forgetting
+
+
 def test_piece_lattice_equals_enumeration(spark, docs, empty):
     lattice = pieces.Pieces(pieces.model_path(), 4)
     for text in ("▁there", "▁(a", "ab😀c", "▁▁x"):
