@@ -15,14 +15,17 @@ _own: list[str] = []
 #: ASCII white space; every contract of this subpackage splits words on it.
 WHITE = " \t\n\x0b\x0c\r"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, where the session has left Spark's own default: rows here hold whole texts, and
-    a batch stands several times in the memory of the JVM and of its Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of about so many rows and bytes at most, where the session has left Spark's own defaults: rows here hold
+    whole texts, and a batch stands several times in the memory of the JVM and of its Python worker. One longer text is a batch."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, str(rows))
+    if spark.conf.get(BYTES) == "67108864b":
+        spark.conf.set(BYTES, str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
