@@ -34,18 +34,22 @@ SPACE = "▁"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SEGMENT = re.compile(rf"{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}]+|{SPACE}+")
 MAX_REMEMBERED, MAX_SEGMENT = 450_000, 48
+#: Segmentations of each text.
+N_BEST = 10
 
 
 class Pieces:
     """The lattice of one model file."""
 
-    def __init__(self, path: str, n: int = 2, remembered: int = MAX_REMEMBERED) -> None:
+    def __init__(self, path: str, n: int = N_BEST, remembered: int = MAX_REMEMBERED) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n, self.remembered = n, remembered
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.searched: dict[str, tuple[list[float], list[bytes], bool]] = {}
+        self.searched_before: dict[str, tuple[list[float], list[bytes], bool]] = {}
         self.entry: dict[str, tuple[float, int]] = {}
         surface: list[bytes] = []
         self.byte_id = [0] * 256
@@ -61,6 +65,7 @@ class Pieces:
         # what a piece ends with, the pieces themselves with their score and id
         self.steps: dict[str, tuple] = dict.fromkeys((p[i:] for p in self.entry for i in range(len(p))), ()) | self.entry
         self.unknown = min(score for score, _ in self.entry.values()) - 10
+        self.surface = surface
         self.lengths = np.array([len(x) for x in surface])
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
@@ -179,37 +184,58 @@ class Pieces:
                 self.known, self.older = {}, self.known
         return found
 
-    def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
-        """The n best segmentations of a whole text: (score, ids), best first."""
+    def others(self, text: str) -> tuple[list[float], list[bytes], bool]:
+        """What each of the n best segmentations of a segment loses, their ids as bytes, and whether all decode alike; short segments
+        are remembered, ``remembered`` / 20 at most."""
+        found = self.searched.get(text)
+        if found is None:
+            found = self.searched_before.get(text)
+            if found is None:
+                paths = self.search(text, self.n)
+                alike = len({b"".join(map(self.surface.__getitem__, ids)) for _, ids in paths}) == 1
+                found = [paths[0][0] - score for score, _ in paths], [array("i", ids).tobytes() for _, ids in paths], alike
+            if len(text) <= MAX_SEGMENT:
+                self.searched[text] = found
+                if len(self.searched) > self.remembered // 40:
+                    self.searched, self.searched_before = {}, self.searched
+        return found
+
+    def paths(self, text: str | None) -> tuple[list[tuple[float, bytes]], bool]:
+        """The n best segmentations of a whole text, (score, ids as bytes), best first, and whether all decode alike."""
         if not text:
-            return [(0.0, np.zeros(0, np.int32))]
+            return [(0.0, b"")], True
         parts = self.split(SPACE + text.replace(" ", SPACE))
         segments = self.segments(parts)
         total = sum([s[1] for s in segments])
         best = [s[0] for s in segments]
-        out = [(total, np.frombuffer(b"".join(best), np.int32))]
+        out = [(total, b"".join(best))]
         if self.n == 1:
-            return out
+            return out, True
         # a path of the n best differs from the best one in the n - 1 segments of least loss at most; only their other
         # segmentations are searched for
         losses = [s[2] for s in segments]
         near = [i for i in heapq.nsmallest(self.n - 1, range(len(losses)), key=losses.__getitem__) if losses[i] < float("inf")]
-        others = [self.search(parts[i], self.n) for i in near]
-        first = (0,) * len(near)
-        heap, seen = [(0.0, first)], {first}
+        others = [self.others(parts[i]) for i in near]
+        between, at = [], 0
+        for j in sorted(range(len(near)), key=near.__getitem__):
+            between.append((b"".join(best[at : near[j]]), j))
+            at = near[j] + 1
+        rest = b"".join(best[at:])
+        # a choice's successors take one step in its last changed segment or in one behind it, so each choice comes up once
+        heap = [(0.0, (0,) * len(near), 0)]
         while heap and len(out) < self.n:
-            loss, choice = heapq.heappop(heap)
+            loss, choice, last = heapq.heappop(heap)
             if any(choice):
-                ids = list(best)
-                for i, c, other in zip(near, choice, others):
-                    ids[i] = array("i", other[c][1]).tobytes()
-                out.append((total - loss, np.frombuffer(b"".join(ids), np.int32)))
-            for j, other in enumerate(others):
-                step = choice[:j] + (choice[j] + 1,) + choice[j + 1 :]
-                if step[j] < len(other) and step not in seen:
-                    seen.add(step)
-                    heapq.heappush(heap, (sum([o[0][0] - o[c][0] for o, c in zip(others, step)]), step))
-        return out
+                out.append((total - loss, b"".join([x for gap, j in between for x in (gap, others[j][1][choice[j]])] + [rest])))
+            for j in range(last, len(near)):
+                lost, c = others[j][0], choice[j]
+                if c + 1 < len(lost):
+                    heapq.heappush(heap, (loss - lost[c] + lost[c + 1], choice[:j] + (c + 1,) + choice[j + 1 :], j))
+        return out, all(o[2] for o in others)
+
+    def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a whole text: (score, ids), best first."""
+        return [(score, np.frombuffer(ids, np.int32)) for score, ids in self.paths(text)[0]]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of ids, without the space that the preparation put in front."""
@@ -230,8 +256,9 @@ def pieces(path: str, n: int, remembered: int) -> Pieces:
     return Pieces(path, n, remembered)
 
 
-def encode_documents(docs: DataFrame, model: str, n: int = 2, ids: bool = False, remembered: int = MAX_REMEMBERED) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, scores of the n best, round_trip of every whole text; with ids also the best path's ids.
+def encode_documents(docs: DataFrame, model: str, n: int = N_BEST, ids: bool = False, remembered: int = MAX_REMEMBERED) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, scores and crc32s of the n best, round_trip (all n decode to the text) of every whole text; with ids
+    also the best path's ids.
 
     remembered: segments that a worker keeps (some 250 bytes each), as long as it lives."""
     extra = ", ids array<int>" if ids else ""
@@ -240,21 +267,21 @@ def encode_documents(docs: DataFrame, model: str, n: int = 2, ids: bool = False,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             lattice = pieces(model, n, remembered)
-            out: dict[str, list] = {"n_pieces": [], "ids_crc32": [], "scores": [], "round_trip": [], "ids": []}
+            out: dict[str, list] = {"n_pieces": [], "ids_crc32": [], "scores": [], "crc32s": [], "round_trip": [], "ids": []}
             for text in batch.column(1).to_pylist():
-                paths = lattice.encode(text)
-                best = paths[0][1]
-                row = (len(best), zlib.crc32(best.astype("<u4").tobytes()), [s for s, _ in paths], lattice.decode_bytes(best) == (text or "").encode(), best)
+                paths, alike = lattice.paths(text)
+                best, sums = np.frombuffer(paths[0][1], np.int32), [zlib.crc32(x) for _, x in paths]
+                row = (len(best), sums[0], [s for s, _ in paths], sums, alike and lattice.decode_bytes(best) == (text or "").encode(), best)
                 for column, x in zip(out.values(), row):
                     column.append(x)
-            columns = [batch.column(0), pa.array(out["n_pieces"], pa.int64()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["scores"], pa.list_(pa.float64())), pa.array(out["round_trip"], pa.bool_())]
-            names = ["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"]
+            columns = [batch.column(0), pa.array(out["n_pieces"], pa.int64()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["scores"], pa.list_(pa.float64())), pa.array(out["crc32s"], pa.list_(pa.int64())), pa.array(out["round_trip"], pa.bool_())]
+            names = ["doc_id", "n_pieces", "ids_crc32", "scores", "crc32s", "round_trip"]
             if ids:
                 columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, n_pieces bigint, ids_crc32 bigint, scores array<double>, round_trip boolean{extra}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, n_pieces bigint, ids_crc32 bigint, scores array<double>, crc32s array<bigint>, round_trip boolean{extra}")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -248,6 +248,27 @@ def test_piece_lattice_equals_enumeration(spark, docs, empty):
     assert pieces.encode_documents(empty, pieces.model_path()).count() == 0
 
 
+def test_op4_returns_the_ten_best_of_every_text(spark, tmp_path):
+    texts = ["the cat", "ab\U0001f600 the the", "there (a", "x", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lattice = pieces.Pieces(pieces.model_path(), 1)
+    rows = {r["doc_id"]: r for r in pieces.op4_sentencepiece(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        whole = pieces.SPACE + text.replace(" ", pieces.SPACE) if text else ""
+        ways: list = [[(0.0, [])]] + [[] for _ in whole]  # all segmentations that end at each place
+        for end in range(1, len(whole) + 1):
+            for start in range(end):
+                found = lattice.entry.get(whole[start:end])
+                edge = (found[0], [found[1]]) if found else (lattice.unknown, [lattice.byte_id[b] for b in whole[start:end].encode()]) if start == end - 1 else None
+                ways[end] += [(score + edge[0], ids + edge[1]) for score, ids in ways[start]] if edge else []
+        sums = {}
+        for score, ids in ways[-1]:
+            sums.setdefault(zlib.crc32(np.array(ids, "<u4").tobytes()), score)
+        assert rows[i]["scores"] == sorted((score for score, _ in ways[-1]), reverse=True)[:10] and rows[i]["round_trip"]
+        assert [sums[x] for x in rows[i]["crc32s"]] == rows[i]["scores"] and len(set(rows[i]["crc32s"])) == len(rows[i]["scores"])
+    assert [len(rows[i]["scores"]) for i in (0, 1, 4, 5)] == [10, 10, 1, 1]
+
+
 def test_scratch_follows_the_session(spark):
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     assert common.scratch_dir(spark) == set_dir.rstrip("/") if set_dir else common.scratch_dir(spark).startswith("file:")
