@@ -24,7 +24,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of texts linked at Jaccard 0.8 or more over five-word shingles; none is missed, as by any SimHash radius."""
+    """Keep one document of each group of texts linked at Jaccard 0.8 or more over five-word shingles: SimHash classes, checked on the
+    whole shingle sets, then an exact search for the links that lie beyond any useful SimHash radius."""
     return nearcopies.keep_one(docs)
 
 

@@ -1,6 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles; nothing is sampled away and no pair at the threshold is lost.
+"""SimHash near copies, checked and completed by the exact Jaccard similarity of word shingles; no pair at the threshold is lost.
 
-No SimHash radius finds every pair at Jaccard 0.8, so candidates come from prefixes: with all sets sorted by one order,
+First come the classes of the SimHash operator (``simhash.classes``: fingerprints, pigeonhole shards, BK-trees, components): each
+text is compared with one of its class on the whole shingle sets, and what proves alike is one component from there on.
+No SimHash radius finds every pair at Jaccard 0.8, so the rest comes from prefixes: with all sets sorted by one order,
 two sets at Jaccard ``num/den`` or more share one of the first n - ceil(num n / den) + 1 shingles of each. The order puts
 shingles that are frequent in a sample last, which only lowers the number of candidates: any order finds all pairs.
 Shingles that many sets still share are then known exactly, and their sets are ordered once more with these last.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import materialize, slices, texts, unused
-from marginalia.llm.simhash import components
+from marginalia.llm.simhash import classes, components, fingerprint
 
 SAMPLE, FREQUENT = 10_000, 500_000
 #: Sets that a task remembers, and keys (a long each) that a broadcast may hold.
@@ -65,9 +67,10 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((found & np.uint64(255)).view(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
 
 
-def signatures(marked: DataFrame, mark: str, counts_of: tuple[np.ndarray, np.ndarray], width: int, num: int, den: int) -> DataFrame:
-    """row (doc_id and row hash), set (hash of the shingle set), n (its size), odd (its parities) and prefix of every text; a set that its task
-    has just seen gets an empty prefix, for its copies need not be found twice. counts_of: (shingles, counts) for the order."""
+def signatures(marked: DataFrame, mark: str, counts_of: tuple[np.ndarray, np.ndarray], width: int, num: int, den: int, simhash: bool = False) -> DataFrame:
+    """row (doc_id and row hash), set (hash of the shingle set), n (its size), odd (its parities), prefix and, if asked for, fp (the SimHash) of
+    every text; a set that its task has just seen gets an empty prefix and no fp, for its copies need not be found twice.
+    counts_of: (shingles, counts) for the order."""
     common = marked.sparkSession.sparkContext.broadcast(counts_of)
     row_type = f"struct<d: {marked.schema['doc_id'].dataType.simpleString()}, h: bigint>"
 
@@ -75,7 +78,7 @@ def signatures(marked: DataFrame, mark: str, counts_of: tuple[np.ndarray, np.nda
         known, counts = common.value
         seen: set[int] = set()
         for batch in slices(batches, 256):
-            sets, sizes, odd, prefixes = [], [], [], []
+            sets, sizes, odd, prefixes, prints = [], [], [], [], []
             for raw in texts(batch.column(1)):
                 found = shingles(raw, width)
                 sets.append(xxhash.xxh64_intdigest(found.tobytes()))
@@ -83,18 +86,20 @@ def signatures(marked: DataFrame, mark: str, counts_of: tuple[np.ndarray, np.nda
                 odd.append(parities(found))
                 if sets[-1] in seen:
                     prefixes.append(found[:0].view(np.int64))
+                    prints.append(None)
                     continue
                 if len(seen) == REMEMBERED:
                     seen.clear()
                 seen.add(sets[-1])
+                prints.append(int(np.uint64(fingerprint(raw)).view(np.int64)) if simhash else None)
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
                 prefixes.append(found[: len(found) + 1 + -num * len(found) // den].view(np.int64))
-            columns = [batch.column(0), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "set", "n", "odd", "prefix"])
+            columns = [batch.column(0), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "set", "n", "odd", "prefix", "fp"])
 
-    return marked.select(F.struct(F.col("doc_id").alias("d"), F.col(mark).alias("h")).alias("row"), "text").mapInArrow(run, f"row {row_type}, set bigint, n int, odd array<bigint>, prefix array<bigint>")
+    return marked.select(F.struct(F.col("doc_id").alias("d"), F.col(mark).alias("h")).alias("row"), "text").mapInArrow(run, f"row {row_type}, set bigint, n int, odd array<bigint>, prefix array<bigint>, fp bigint")
 
 
 def _reach(n: Column, pos: Column, num: int, den: int) -> Column:
@@ -181,19 +186,45 @@ def refined(left: DataFrame, groups: DataFrame, marked: DataFrame, mark: str, kn
     return materialize(left.join(F.broadcast(crowded.select("g")), "g", "left_anti").unionByName(second), "refined")
 
 
+def simhash_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b): every set that the SimHash operator puts in a class with others, and the smallest set of that class."""
+    prints = groups.filter("n > 0").select("fp", "set")
+    found = classes(prints, "set").withColumnRenamed("fp", "of")
+    both = prints.join(found, F.col("fp") == F.col("of")).filter("set <> first")
+    return materialize(both.select(F.col("first").alias("a"), F.col("set").alias("b")), "pairs")
+
+
 def links(left: DataFrame, groups: DataFrame, marked: DataFrame, mark: str, width: int, num: int, den: int, repeated: bool) -> DataFrame:
     """(node, root) of every set that is alike another; root is one set of its component.
 
-    All rows of a shingle are compared with its smallest set, then with its largest; in crowded ones that are not settled,
+    Each set of a SimHash class is compared with the smallest of its class. Then all rows of a shingle are compared with its
+    smallest set, then with its largest; in crowded ones that are not settled,
     each set with 16 more at its most crowded shingle; last, what is still in different components, with each other."""
     token = Window.partitionBy("g")
     edges = tested = root = grams = dense = None
     fits = (F.col("part") != F.col("part2")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
     apart = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd2")[i])) for i in range(1, 4)), F.bit_count(F.col("odd")[0].bitwiseXOR(F.col("odd2")[0])))
     near = fits & ((num + den) * apart <= (den - num) * (F.col("n") + F.col("m")))
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal edges, tested, root, grams
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        sets = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
+        more = cut(sets if grams is None else sets.join(grams, "set", "left_anti"), groups, marked, mark, width, repeated)
+        grams = more if grams is None else grams.unionAll(more)
+        found = alike(pairs, grams, num, den)
+        edges = found if edges is None else edges.unionAll(found)
+        root = components(edges)
+
+    pairs = simhash_pairs(groups)
+    if not pairs.isEmpty():
+        compare(pairs)
     for turn, centers in enumerate(TURNS):
         at = left.withColumn("part", F.col("set"))
-        if root is not None:  # shingles whose texts are all in one component are settled
+        if root is not None and not turn:
+            of = F.broadcast(root) if root.count() <= BROADCAST_ROWS else root
+            at = left.join(of, F.col("set") == F.col("node"), "left").select("g", "set", "n", "reach", F.coalesce("root", "set").alias("part"))
+        elif root is not None:  # shingles whose texts are all in one component are settled
             whole = turn <= 2 or not centers
             at = (left if whole else dense).join(root, F.col("set") == F.col("node"), "left").select("g", "set", "n", "reach", F.coalesce("root", "set").alias("part"))
             at = at.withColumn("low", F.min("part").over(token)).withColumn("high", F.max("part").over(token)).withColumn("size", F.count("*").over(token))
@@ -228,13 +259,7 @@ def links(left: DataFrame, groups: DataFrame, marked: DataFrame, mark: str, widt
         pairs = materialize(pairs, "pairs")
         if root is not None and pairs.isEmpty():
             continue
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        sets = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
-        more = cut(sets if grams is None else sets.join(grams, "set", "left_anti"), groups, marked, mark, width, repeated)
-        grams = more if grams is None else grams.unionAll(more)
-        found = alike(pairs, grams, num, den)
-        edges = found if edges is None else edges.unionAll(found)
-        root = components(edges)
+        compare(pairs)
     return root
 
 
@@ -243,9 +268,9 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> Dat
     mark = unused(docs, "_row_hash")
     marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
     known = frequent(marked, width)
-    prints = materialize(signatures(marked, mark, known, width, num, den), "prints")
+    prints = materialize(signatures(marked, mark, known, width, num, den, simhash=True), "prints")
     repeated = not prints.groupBy("row").count().filter("count > 1").isEmpty()
-    groups = materialize(prints.groupBy("set").agg(F.min("row").alias("low"), F.any_value("odd").alias("odd")), "groups")
+    groups = materialize(prints.groupBy("set").agg(F.min("row").alias("low"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd"), F.min("fp").alias("fp")), "groups")
     left = refined(materialize(shared(prints, num, den), "shared"), groups, marked, mark, known, width, num, den, repeated)
     root = links(left, groups, marked, mark, width, num, den, repeated)
     rooted = groups.join(root, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("root", "set").alias("root"))

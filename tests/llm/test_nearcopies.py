@@ -68,3 +68,25 @@ def test_radius_beyond_the_shards_is_refused(spark, radius):
     frame = spark.createDataFrame([(0,), (1 | 1 << 16 | 1 << 32 | 1 << 48,)], "fp bigint")
     with pytest.raises(ValueError, match="radius"):
         simhash.links(frame, radius=radius)
+
+
+def test_near_duplicate_stage_links_simhash_classes_that_are_alike(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    found = [None, "", "one two"]
+    for base in range(6):
+        words = [f"s{x}" for x in rng.integers(0, 5000, 600)]
+        found += [" ".join(words), edited(words, 7 * base + 1, 1), edited(words, 7 * base + 2, 1), edited(words, 7 * base + 3, 200), edited(words, 7 * base + 4, 12)]
+    loud = "again " * 3000  # one fingerprint, other shingle sets
+    found += [loud + " ".join(f"{x}{i}" for i in range(40)) for x in "ab"]
+    prints = [simhash.fingerprint((t or "").encode()) for t in found]
+    sets = [set(nearcopies.shingles((t or "").encode()).tolist()) for t in found]
+    close = {(i, j) for i in range(len(found)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    same = {(i, j) for i, j in close if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert (len(found) - 1, len(found) - 2) in close - same and len(same) > 5
+    rows = [(i, t) for i, t in enumerate(found)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert [(True, x) for x in whole] == survivors([(i, t, "") for i, t in rows])
+    monkeypatch.setattr(nearcopies, "TURNS", ())  # the SimHash step alone
+    first = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert set(whole) < first and {i for i, _ in same} - first and len(found) - 2 in first and len(found) - 1 in first
